@@ -329,10 +329,10 @@ def _score(g: pd.DataFrame, scales: dict, model: Emission, reach: float, repeat:
 def _shares_frames(again: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Of rows that repeat the value before them: whether they share frames with the rows of their run counted so far.
 
-    Reversed bounds are swapped. A missing bound leaves open what is shared: such a row counts as sharing, and
-    none is held to share with it.
+    Reversed bounds are swapped. A row with one bound is taken as that frame alone; a row without bounds counts
+    as sharing, and none is held to share with it.
     """
-    lo, hi = np.minimum(a, e), np.maximum(a, e)
+    lo, hi = np.fmin(a, e), np.fmax(a, e)
     known = ~np.isnan(lo + hi)
     out = np.zeros(len(again), bool)
     starts = np.flatnonzero(~again)
