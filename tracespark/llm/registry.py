@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracespark.llm import split_queries
+from tracespark.llm import split_queries, text_queries
 
-_MODULES = (split_queries,)
+_MODULES = (split_queries, text_queries)
 
 QUERIES: dict = {}
 SQL: dict = {}
