@@ -1,10 +1,12 @@
-"""Queries p2: texts that were cut."""
+"""Queries p2, p7 and p8: texts that were cut, encoding and packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracespark.llm.lexicon_encoder import encode_corpus
+from tracespark.llm.packing import CAPACITY, pack
 from tracespark.llm.truncation import find_cut_texts
 from tracespark.runtime import table
 
@@ -25,5 +27,32 @@ def p2_source_report(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 4))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_source_report)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, tokens and characters per token of each language and source."""
+    docs = table(spark, d, "documents")
+    n = encode_corpus(docs, lengths_only=True)
+    x = docs.join(n, "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).alias("n_chars"))
+    return x.withColumn("chars_per_token", F.round(F.try_divide("n_chars", "n_tokens"), 3))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(encode_corpus(table(spark, d, "documents"), lengths_only=True), "doc_id", "n_tokens")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("container_id", "doc_id", "part_no", F.col("first_unit").alias("first_token"), F.col("n_units").alias("n_tokens"))
+
+
+def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, the fewest that any packing needs, and the share of unused space."""
+    per = _packed(spark, d).groupBy("container_id").agg(F.sum("n_units").alias("used"))
+    t = per.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    return t.select("n_containers", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), "fullest", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 5).alias("unused_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_source_report, p7_ids, p7_token_counts, p8_containers, p8_fill_report)}
 SQL: dict = {}
