@@ -1,4 +1,4 @@
-"""Queries p2, p7 and p8: texts that were cut, encoding and packing."""
+"""Queries p2, p7, p8 and p9: cut texts, encoding, packing and personal information."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracespark.llm.lexicon_encoder import encode_corpus
 from tracespark.llm.packing import CAPACITY, pack
+from tracespark.llm.pii_crf import find_personal_items
 from tracespark.llm.truncation import find_cut_texts
 from tracespark.runtime import table
 
@@ -54,5 +55,14 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n_containers", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), "fullest", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 5).alias("unused_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_source_report, p7_ids, p7_token_counts, p8_containers, p8_fill_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal_items(table(spark, d, "documents"), table(spark, d, "known_names")).select("doc_id", "kind", "start_at").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders in place of personal information."""
+    return find_personal_items(table(spark, d, "documents"), table(spark, d, "known_names"), redact=True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_source_report, p7_ids, p7_token_counts, p8_containers, p8_fill_report, p9_found, p9_redacted)}
 SQL: dict = {}
