@@ -204,7 +204,7 @@ def flag_trajectories(samples: DataFrame, ident: str = "sample_id", video: str =
             ps, pk = np.zeros(t.shape), np.zeros(t.shape)
             for s in set(src.tolist()):
                 m = src == s
-                qxy, qz, repeat = scales[s]
+                qxy, qz, repeat = scales.get(s, (float("nan"), float("nan"), 0.0))  # a source without readings has no scale
                 u = np.fmax(xy[m] / qxy if qxy == qxy else 0 * xy[m], z[m] / qz if qz == qz else 0 * z[m])
                 g = posteriors(np.where(out[m], 0, u), same[m], t[m] >= 0, repeat, model)
                 ps[m], pk[m] = g[..., SPIKE] * ~out[m], g[..., STUCK] * ~out[m]
