@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracespark.plans import caption_queries, measurement_queries, signal_queries, track_queries
+from tracespark.plans import caption_queries, measurement_queries, signal_queries, stream_queries, track_queries
 
-_MODULES = (measurement_queries, track_queries, signal_queries, caption_queries)
+_MODULES = (measurement_queries, track_queries, signal_queries, caption_queries, stream_queries)
 
 QUERIES: dict = {}
 SQL: dict = {}
