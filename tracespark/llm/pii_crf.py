@@ -239,10 +239,11 @@ def name_words(docs: DataFrame, known: DataFrame, column: str = "text", least: i
 
     counts = docs.select(F.col(column).alias("t")).mapInPandas(partial, "w string, k int, n bigint").groupBy("w").pivot("k", [0, 1, 2]).agg(F.sum("n")).na.fill(0).toDF("w", "seen", "first", "last")
     good = counts.where((F.col("first") + F.col("last") >= least) & (F.col("first") + F.col("last") >= share * F.col("seen")))
-    # Hashed in Spark would need the same hash; the words that pass come in blocks of bounded size.
+    code = F.when(F.col("first") >= F.greatest(F.lit(1.0), 0.25 * F.col("last")), 1).otherwise(0).bitwiseOR(F.when(F.col("last") >= F.greatest(F.lit(1.0), 0.25 * F.col("first")), 2).otherwise(0))
+    slots = good.groupBy(F.crc32("w").bitwiseAND(LEX_SLOTS - 1).alias("slot")).agg(F.bit_or(code).alias("code"))
     lex = bytearray(LEX_SLOTS)
-    for r in good.select("w", "first", "last").toLocalIterator():
-        lex[slot(r.w)] |= (1 if r.first >= max(1, 0.25 * r.last) else 0) | (2 if r.last >= max(1, 0.25 * r.first) else 0)
+    for r in slots.toLocalIterator():  # at most LEX_SLOTS rows
+        lex[r.slot] |= r.code
     given = []
     for r in known.select("name", "name_kind").where("name is not null").toLocalIterator():
         lex[slot(r.name)] |= 1 if r.name_kind == "given" else 2

@@ -130,7 +130,7 @@ def assign_splits(groups: DataFrame, stratum: str, group: str, size: str, propor
         whole = sum(left.values())
         rest[s] = ({p: (left[p] / whole if whole else proportions[p]) for p in proportions}, max(1, -(-k // bucket_groups)))
 
-    def deal(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         s = rows["s"].iloc[0]
         s = None if pd.isna(s) else s
         n = float(rows["n"].sum())
