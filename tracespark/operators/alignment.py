@@ -63,7 +63,7 @@ def align(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
 def align_chunks(anchors: DataFrame) -> DataFrame:
     """chunk, transform (16 doubles), n_anchors. anchors: chunk, source, target (16 doubles each); a chunk's anchors are bounded by the sparse pass."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         s, t = (np.array(g[c].tolist(), dtype=np.float64).reshape(-1, 4, 4) for c in ("source", "target"))
         m = align(s, t)
         return pd.DataFrame({"chunk": [key[0]], "transform": [m.ravel()], "n_anchors": [len(g)]})

@@ -45,7 +45,7 @@ def merge_tokens(x: np.ndarray, ratio: float = 25.0) -> np.ndarray:
 def merged_tokens(tokens: DataFrame, rounds: int = 11, ratio: float = 25.0) -> DataFrame:
     """frame, token, vec after ``rounds`` merging rounds. tokens: frame, token, vec; a frame's tokens are bounded by the patch grid."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = np.array(g.sort_values("token")["vec"].tolist(), dtype=np.float64)
         for _ in range(rounds):
             x = merge_tokens(x, ratio)
@@ -87,7 +87,7 @@ def temporal_centroids(tokens: DataFrame, threshold: float = 0.2) -> DataFrame:
     The scan depends on its own result, so an episode is scanned in one place; episodes are independent.
     """
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         kept: list[np.ndarray] = []
         for v in g.sort_values(["frame", "token"])["vec"]:
             v = np.asarray(v, dtype=np.float64)

@@ -168,7 +168,7 @@ def compact(files: DataFrame, root: str | None = None, target_bytes: int = TARGE
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
     lanes = max(1, -(-total.n // lane_files), int(total.b // (target_bytes * 16)))
 
-    def plan(key, rows):
+    def plan(key: tuple, rows):
         import pandas as pd
 
         out = merge_plan([(str(i), int(n)) for i, n in zip(rows["file_id"], rows["n_bytes"])], int(key[0]), target_bytes, fanout)
@@ -179,7 +179,7 @@ def compact(files: DataFrame, root: str | None = None, target_bytes: int = TARGE
     journal = spark.read.schema(JOURNAL).parquet(f"{root}/journal")
 
     # Which final output each file ends in: follow the merges upwards, one level a step; lanes keep it narrow.
-    def ends(key, rows):
+    def ends(key: tuple, rows):
         import pandas as pd
 
         parent = {i: o for ins, o in zip(rows["inputs"], rows["output"]) for i in ins}

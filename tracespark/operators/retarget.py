@@ -48,7 +48,7 @@ def retargeted_tracks(tracks: DataFrame, width: float, height: float, step: floa
     of a group, so a group is one Arrow batch; groups are independent.
     """
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["kp", "t"])
         kps, n = np.unique(g["kp"], return_counts=True)
         h = int(n.min())

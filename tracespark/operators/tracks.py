@@ -167,3 +167,35 @@ def norm_rank(points: DataFrame, episode: str = "episode") -> DataFrame:
     w = Window.partitionBy(episode).orderBy(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2, "kp")
     n = F.count(F.lit(1)).over(Window.partitionBy(episode))
     return points.withColumn("rank01", (F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1)))
+
+
+def hop_windows(frames: DataFrame, size: int) -> DataFrame:
+    """episode, t, window: every window of ``size`` frames, half a window apart, that holds the frame; the first starts at 0."""
+    hop = max(1, size // 2)
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("t") - size) / hop) + 1)
+    return frames.select("episode", "t").distinct().select("episode", "t", F.explode(F.sequence(first, F.floor(F.col("t") / hop))).alias("window"))
+
+
+def normalised_depth(tracks: DataFrame, horizon: int = 8) -> DataFrame:
+    """Adds z01: depth within the range of the next ``horizon`` frames of its track, 0 where the range is empty."""
+    w = Window.partitionBy(*TRACK).orderBy("t").rowsBetween(0, horizon - 1)
+    lo, hi = F.min("z").over(w), F.max("z").over(w)
+    return tracks.withColumn("z01", F.coalesce(F.try_divide(F.col("z") - lo, hi - lo), F.lit(0.0)))
+
+
+def motion_mask(points: DataFrame, height: int, width: int, radius: int = 12, dilate: int = 5) -> DataFrame:
+    """episode, t, y, x: pixels within ``radius`` of a point, widened by a box of ``dilate`` on each side. points: episode, t, y, x (integers).
+
+    Columns of a disk become runs, so a point gives 2 radius + 1 rows before the box widens them in place.
+    """
+    runs = points.select("episode", "t", "y", "x").distinct().withColumn("dx", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    half = F.floor(F.sqrt(F.lit(radius * radius) - F.col("dx") * F.col("dx"))).cast("int")
+    col = runs.select("episode", "t", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") - half - dilate).alias("a"), (F.col("y") + half + dilate).alias("b"))
+    wide = col.withColumn("x", F.explode(F.sequence(F.col("x") - dilate, F.col("x") + dilate))).where(f"x >= 0 and x < {width}").distinct()
+    cells = wide.select("episode", "t", F.explode(F.sequence(F.greatest("a", F.lit(0)), F.least("b", F.lit(height - 1)))).alias("y"), "x")
+    return cells.distinct()
+
+
+def cluster_hue(cluster: Column) -> Column:
+    """Hue in [0, 1) by steps of the golden ratio, so that neighbours in number differ in colour."""
+    return (cluster * F.lit(0.618033988749895)) % 1

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tracespark.functions import geometry as g
 from tracespark.operators import tracks as op
 from tracespark.plans.standins import CAM, FRM, HEIGHT, TRK, WIDTH, frames, pose, tracks, with_camera
+from tracespark.runtime import table, work_dir
+from tracespark.sources.registry import register_sources
+from tracespark.sources.trace_episodes import write_trace_episodes
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -211,3 +214,40 @@ def quaternion_slerp(spark: SparkSession, d: str) -> DataFrame:
     turned = with_camera(frames(tracks(spark, d)).select("t").distinct()).select("t", F.array(*q).alias("q"))
     h = g.slerp([F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)], [F.col("q")[k] for k in range(4)], F.lit(0.5))
     return turned.select("t", r6(F.col("q")[0], "qw"), r6(F.col("q")[2], "qy"), F.array(*h).alias("h")).select("t", "qw", "qy", r6(F.col("h")[0], "half_w"), r6(F.col("h")[2], "half_y"))
+
+
+@_q(f"with {TRK}, {FRM} select episode, t, unnest(generate_series(greatest(0, cast(floor((t - 16) / 8) as bigint) + 1), cast(floor(t / 8) as bigint))) as \"window\" from frm")
+def hop_windows(spark: SparkSession, d: str) -> DataFrame:
+    return op.hop_windows(frames(tracks(spark, d)), 16)
+
+
+@_q(f"""with {TRK}, r as (select *, min(z) over w as lo, max(z) over w as hi from trk window w as (partition by episode, kp order by t rows between current row and 7 following))
+select episode, kp, t, round(case when hi > lo then (z - lo) / (hi - lo) else 0 end, 6) as z01 from r""")
+def normalised_depth(spark: SparkSession, d: str) -> DataFrame:
+    return op.normalised_depth(tracks(spark, d)).select("episode", "kp", "t", r6(F.col("z01"), "z01"))
+
+
+@_q("""with p as (select distinct dataset as episode, frame_index % 5 as t, cast(floor(keypoint_y / 10) as int) as y, cast(floor(keypoint_x / 10) as int) as x from samples),
+disk as (select distinct episode, t, y + dy as y, x + dx as x from p, (select unnest(generate_series(-3, 3)) as dy) a, (select unnest(generate_series(-3, 3)) as dx) b where dx * dx + dy * dy <= 9)
+select distinct episode, t, cast(y + ey as int) as y, cast(x + ex as int) as x from disk, (values (-1), (0), (1)) c(ey), (values (-1), (0), (1)) d(ex) where y + ey between 0 and 71 and x + ex between 0 and 95""")
+def motion_mask(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "samples")
+    p = s.select(F.col("dataset").alias("episode"), (F.col("frame_index") % 5).alias("t"), F.floor(F.col("keypoint_y") / 10).cast("int").alias("y"), F.floor(F.col("keypoint_x") / 10).cast("int").alias("x"))
+    return op.motion_mask(p, 72, 96, 3, 1)
+
+
+@_q("select distinct cluster_id, round((cluster_id * cast(0.618033988749895 as double)) % 1, 6) as hue from samples where cluster_id is not null")
+def cluster_hues(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "samples").where("cluster_id is not null").select("cluster_id", r6(op.cluster_hue(F.col("cluster_id")), "hue")).distinct()
+
+
+@_q("select md5(video_id) as episode, frame_index as t, count(*) as n_rows, count(*) filter (is_moving) as n_moving from samples where is_moving is not null group by 1, 2")
+def episode_layout_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the samples in the array layout, one folder per recording, and reads them back."""
+    s = table(spark, d, "samples").where("is_moving is not null")
+    rows = s.select(F.md5("video_id").alias("episode"), F.col("frame_index").alias("t"), F.col("sample_id").alias("kp_row"), F.struct(F.col("keypoint_x").alias("x"), F.col("keypoint_y").alias("y")).alias("keypoint"), "cluster_id", "is_moving", "visib", "raw_traj", "raw_valid_steps")
+    at = work_dir(spark, "episodes").removeprefix("file://")
+    write_trace_episodes(rows, at).write.format("noop").mode("overwrite").save()
+    register_sources(spark)
+    back = spark.read.format("trace_episodes").option("path", at).load()
+    return back.groupBy("episode", "t").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_moving").alias("n_moving"))

@@ -1,6 +1,6 @@
 """Episodes of the array layout (one .npy per column, rows of a frame found by offsets), read and written.
 
-Source ``trace_episodes``: one task per episode, columns as memory maps. Rows: episode, t, kp_row,
+Source ``trace_episodes``: a task reads up to ``episodes_per_task`` episodes, columns as memory maps. Rows: episode, t, kp_row,
 keypoint, cluster_id, is_moving, visib, raw_traj, raw_valid_steps. Arrays that are missing give nulls;
 masks of one dimension count for every step. The sink writes the same layout; half precision and the
 -inf padding live only there.
@@ -20,33 +20,37 @@ STEPS = 128
 SCHEMA = "episode string, t int, kp_row bigint, keypoint struct<x:float,y:float>, cluster_id int, is_moving boolean, visib float, raw_traj array<struct<x:float,y:float,z:float>>, raw_valid_steps array<boolean>"
 
 
-class _Episode(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class _Episodes(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths[0])
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, first: int | None, last: int | None):
-        self.root, self.first, self.last = root, first, last
+    def __init__(self, root: str, first: int | None, last: int | None, at_once: int):
+        self.root, self.first, self.last, self.at_once = root, first, last, max(1, at_once)
 
-    def partitions(self) -> list[_Episode]:
-        names = sorted(os.listdir(self.root))
-        return [_Episode(os.path.join(self.root, n)) for n in names if os.path.isfile(os.path.join(self.root, n, "samples", "frame_indices.npy"))]
+    def partitions(self) -> list[_Episodes]:
+        found = [os.path.join(self.root, n) for n in sorted(os.listdir(self.root)) if os.path.isfile(os.path.join(self.root, n, "samples", "frame_indices.npy"))]
+        return [_Episodes(found[i : i + self.at_once]) for i in range(0, len(found), self.at_once)]
 
-    def read(self, partition: _Episode) -> Iterator[tuple]:
+    def read(self, partition: _Episodes) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self.rows(path)
+
+    def rows(self, path: str) -> Iterator[tuple]:
         def column(name: str):
-            p = os.path.join(partition.path, "samples", f"{name}.npy")
+            p = os.path.join(path, "samples", f"{name}.npy")
             return np.load(p, mmap_mode="r") if os.path.isfile(p) else None
 
         frames, offsets, kps = column("frame_indices"), column("offsets"), column("keypoints")
         cluster, moving, visib, traj, valid = (column(c) for c in ("cluster_ids", "is_moving", "visibs", "raw_traj", "raw_valid_steps"))
-        name = os.path.basename(partition.path)
+        name = os.path.basename(path)
         for i, t in enumerate(frames):
             if self.first is not None and t < self.first or self.last is not None and t > self.last:
                 continue
             for r in range(int(offsets[i]), int(offsets[i + 1])):
-                steps = None if traj is None else [tuple(float(v) for v in p) for p in np.asarray(traj[r], np.float32)]
+                steps = None if traj is None else list(map(tuple, np.asarray(traj[r], np.float32).tolist()))
                 ok = None
                 if valid is not None:
                     v = np.asarray(valid[r])
@@ -67,7 +71,7 @@ class TraceEpisodeSource(DataSource):
 
     def reader(self, schema) -> _Reader:
         o = self.options
-        return _Reader(o["path"], int(o["first"]) if "first" in o else None, int(o["last"]) if "last" in o else None)
+        return _Reader(o["path"], int(o["first"]) if "first" in o else None, int(o["last"]) if "last" in o else None, int(o.get("episodes_per_task", "32")))
 
 
 def write_trace_episodes(samples: DataFrame, root: str) -> DataFrame:
@@ -78,7 +82,7 @@ def write_trace_episodes(samples: DataFrame, root: str) -> DataFrame:
     complete, so a task that runs again replaces its own files.
     """
 
-    def save(key, g: pd.DataFrame) -> pd.DataFrame:
+    def save(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t", "kp_row"])
         at = os.path.join(root, str(key[0]), "samples")
         os.makedirs(at, exist_ok=True)

@@ -39,7 +39,7 @@ def last_positions(tracks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     batch rule; ``ttl_ms`` opts into dropping points that stay silent, which changes results.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
