@@ -21,6 +21,7 @@ from tracespark.runtime import cut
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 LARGE_SHARE = 0.001
 BUCKET_GROUPS = 2000
+MAX_STRATA = 10_000
 
 # Words that say what kind of name it is or where it lay, not which recording it names.
 _GENERIC = {"data", "raw", "shard", "episode", "ep", "part", "task", "clip"}
@@ -107,13 +108,16 @@ def assign_splits(groups: DataFrame, stratum: str, group: str, size: str, propor
 
     Within each stratum the rows of each split approach ``proportions``. Groups of at least
     ``large_share`` of a stratum's rows (at most 1 / large_share per stratum) are dealt on the driver,
-    the others by hash in buckets of about ``bucket_groups`` groups. Null strata are one stratum. An
+    the others by hash in buckets of about ``bucket_groups`` groups. Null strata are one stratum; more than
+    MAX_STRATA strata raise an error. An
     empty table gives an empty result.
     """
     proportions = proportions or PROPORTIONS
     g = groups.select(F.col(stratum).alias("s"), F.col(group).alias("g"), F.col(size).cast("bigint").alias("n"))
     spark = g.sparkSession
-    totals = {r.s: (r.n, r.k) for r in g.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}  # one row per stratum
+    totals = {r.s: (r.n, r.k) for r in g.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).limit(MAX_STRATA + 1).collect()}
+    if len(totals) > MAX_STRATA:
+        raise ValueError(f"{len(totals)} strata; the label must have at most {MAX_STRATA} values")
     if not totals:
         return g.select(F.col("s").alias(stratum), F.col("g").alias(group), F.lit("").alias("split")).where("false")
     bounds = spark.createDataFrame([(s, max(1, int(n * large_share))) for s, (n, _) in totals.items()], f"s {groups.schema[stratum].dataType.simpleString()}, b bigint")
