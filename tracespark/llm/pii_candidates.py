@@ -192,25 +192,35 @@ def _context(t: str, a: int, b: int) -> list[str]:
     return out
 
 
+_CLASSES: dict[str, tuple[int, str]] = {}  # classes of words seen with the lexicon in use
+_CLASSES_OF: list[bytes] = [b""]
+
+
+def _word_class(w: str, lex: bytes) -> tuple[int, str]:
+    """Lexicon code and case of a word: low, cap, upper, or upper1 for a single capital."""
+    if _CLASSES_OF[0] is not lex or len(_CLASSES) > 300_000:
+        _CLASSES.clear()
+        _CLASSES_OF[0] = lex
+    got = _CLASSES.get(w)
+    if got is None:
+        low = w.lower()
+        code = lex[slot(low)] if low not in _NO_NAME else 0
+        if not code and "-" in low:
+            code = 2 if all(lex[slot(x)] for x in low.split("-")) else 0
+        case = ("upper1" if len(w) == 1 else "upper") if w.isupper() else "cap" if w[0].isupper() else "low"
+        got = _CLASSES[w] = (code, case)
+    return got
+
+
 def _names(t: str, lex: bytes) -> list[Node]:
     words = [(m.start(), m.end()) for m in _WORD.finditer(t)]
     n = len(words)
     info: list[tuple[int, str]] = []  # lexicon code, case class
     for a, b in words:
         w = t[a:b]
-        low = w.lower()
-        code = lex[slot(low)] if low not in _NO_NAME else 0
-        if not code and "-" in low:
-            halves = [lex[slot(x)] for x in low.split("-")]
-            code = 2 if all(halves) else 0
-        if len(w) == 1 and w.isupper() and t[b : b + 1] == "." and low not in ("i",) or len(w) == 1 and w.isupper() and t[b : b + 2] == ". ":
-            case = "init"
-        elif w.isupper() and len(w) > 1:
-            case = "upper"
-        elif w[0].isupper():
-            case = "cap"
-        else:
-            case = "low"
+        code, case = _word_class(w, lex)
+        if case == "upper1":
+            case = "init" if t[b : b + 1] == "." and (w != "I" or t[b : b + 2] == ". ") else "cap"
         info.append((code, case))
 
     def namey(i: int) -> bool:
