@@ -91,38 +91,67 @@ def savgol_weights(window: int, degree: int = 2) -> list[list[float]]:
     return (x @ np.linalg.pinv(x)).tolist()
 
 
+def savgol_values(a: np.ndarray, window: int, degree: int = 2) -> np.ndarray:
+    """The fitted polynomial of each window of a signal at least as long as the window, at its place."""
+    n = len(a)
+    base = np.clip(np.arange(n) - window // 2, 0, n - window)
+    rows = np.array(savgol_weights(window, degree))[np.arange(n) - base]
+    view = np.lib.stride_tricks.sliding_window_view(a, window)[base]
+    out = np.zeros(n)
+    for k in range(window):  # from left to right, so that results do not depend on the array library's order
+        out += rows[:, k] * view[:, k]
+    return out
+
+
 def savgol(a: Column, window: int = 11, degree: int = 2) -> Column:
     """Polynomial smoothing; near an end the last whole window's polynomial is read at the place. Signals shorter than the window are averaged instead."""
-    h, n = window // 2, F.size(a)
-    rows = F.array(*[F.array(*[F.lit(v) for v in r]) for r in savgol_weights(window, degree)])
-    base = lambda i: F.greatest(F.lit(0), F.least(n - window, i - h))
-    fit = F.transform(a, lambda _, i: F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0), lambda s, k: s + F.get(F.get(rows, i - base(i)), k) * F.get(a, base(i) + k).cast("double")))
-    return F.when(n >= window, fit).otherwise(moving_average(a, window))
+
+    @F.pandas_udf("array<double>")
+    def fit(signals: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else savgol_values(np.asarray(x, np.float64), window, degree) if len(x) >= window else np.empty(0) for x in signals])
+
+    return F.when(F.size(a) >= window, fit(a)).otherwise(moving_average(a, window))
 
 
 # Peaks and boundaries -----------------------------------------------------------------------------
 
 
+def prominent_maxima(s: np.ndarray, p: Chunking) -> list[tuple[int, float]]:
+    """(place, prominence) of the local maxima high and prominent enough, in order of place."""
+    n = len(s)
+    if n < 3:
+        return []
+    lo, span = float(s.min()), float(s.max() - s.min())
+    if span < 1e-9:
+        return []
+    out = []
+    for i in np.flatnonzero((s[1:-1] >= s[:-2]) & (s[1:-1] >= s[2:]) & (s[1:-1] >= lo + p.height_ratio * span)) + 1:
+        left, right = np.flatnonzero(s[:i] > s[i]), np.flatnonzero(s[i + 1 :] > s[i])
+        a = int(left[-1]) + 1 if len(left) else 0
+        b = i + 1 + (int(right[0]) if len(right) else n - i - 1)
+        prom = float(s[i] - max(s[a : i + 1].min(), s[i:b].min()))
+        if prom >= p.prominence_ratio * span:
+            out.append((int(i), prom))
+    return out
+
+
 def peak_candidates(signals: DataFrame, p: Chunking = GENERAL) -> DataFrame:
     """episode, segment, i, a, prominence: local maxima high and prominent enough; a plateau's places each count.
 
     A maximum's base on a side is the least value between it and the nearest strictly higher value.
+    Signals are independent rows, scanned by an Arrow kernel without a shuffle.
     """
-    a = F.col("a")
-    sig = signals.select("episode", "segment", "a", F.array_min("a").alias("lo"), (F.array_max("a") - F.array_min("a")).alias("span")).where("size(a) > 2 and span >= 1e-9")
-    n = F.size(a)
-    tops = F.filter(F.sequence(F.lit(1), n - 2), lambda i: (F.get(a, i) >= F.col("lo") + p.height_ratio * F.col("span")) & (F.get(a, i) >= F.get(a, i - 1)) & (F.get(a, i) >= F.get(a, i + 1)))
-    t = sig.select("episode", "segment", "a", "span", F.explode(tops).alias("i"))
-    v = F.get(a, F.col("i"))
-    higher = lambda side: F.filter(F.transform(side, lambda x, k: F.when(x > v, k)), lambda k: k.isNotNull())
-    left, right = F.slice(a, 1, F.col("i")), F.slice(a, F.col("i") + 2, F.greatest(n - F.col("i") - 1, F.lit(0)))
-    l0 = F.coalesce(F.array_max(higher(left)) + 1, F.lit(0))
-    r0 = F.coalesce(F.array_min(higher(right)), F.size(right))
-    base = lambda part: F.coalesce(F.array_min(part), v)
-    lbase = F.least(v, base(F.slice(left, l0 + 1, F.size(left) - l0)))
-    rbase = F.least(v, base(F.slice(right, 1, r0)))
-    out = t.select("episode", "segment", "i", v.alias("_v"), (v - F.greatest(lbase, rbase)).alias("prominence"), "span")
-    return out.where(F.col("prominence") >= p.prominence_ratio * F.col("span")).select("episode", "segment", "i", F.col("_v").alias("a"), "prominence")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for e, g, a in pdf.itertuples(index=False, name=None):
+                s = np.asarray(a, dtype=np.float64)
+                rows += [(e, g, i, s[i], prom) for i, prom in prominent_maxima(s, p)]
+            yield pd.DataFrame(rows, columns=["episode", "segment", "i", "a", "prominence"])
+
+    kind = lambda c: signals.schema[c].dataType.simpleString()
+    return signals.select("episode", "segment", "a").where("a is not null").mapInPandas(run, f"episode {kind('episode')}, segment {kind('segment')}, i int, a double, prominence double")
 
 
 def valley_boundaries(signals: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -136,20 +165,8 @@ def valley_boundaries(signals: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def _peaks(s: np.ndarray, p: Chunking) -> list[int]:
     """Peaks in order of prominence, at least min_len apart."""
-    n = len(s)
-    lo, span = float(s.min()), float(s.max() - s.min())
-    if span < 1e-9:
-        return []
-    found = []
-    for i in np.flatnonzero((s[1:-1] >= s[:-2]) & (s[1:-1] >= s[2:]) & (s[1:-1] >= lo + p.height_ratio * span)) + 1:
-        left, right = np.flatnonzero(s[:i] > s[i]), np.flatnonzero(s[i + 1 :] > s[i])
-        a = int(left[-1]) + 1 if len(left) else 0
-        b = i + 1 + (int(right[0]) if len(right) else n - i - 1)
-        prom = s[i] - max(min(s[a : i + 1].min(), s[i]), min(s[i:b].min(), s[i]))
-        if prom >= p.prominence_ratio * span:
-            found.append((-float(prom), int(i)))
     kept: list[int] = []
-    for _, i in sorted(found):
+    for _, i in sorted((-prom, i) for i, prom in prominent_maxima(s, p)):
         if all(abs(i - k) >= p.min_len for k in kept):
             kept.append(i)
     return kept
@@ -204,9 +221,7 @@ def _smooth(a: np.ndarray, window: int) -> np.ndarray:
     w = max(3, min(window, n if n % 2 else n - 1))
     w += 1 - w % 2
     if w >= 5 and n >= w:
-        rows = np.array(savgol_weights(w))
-        base = np.clip(np.arange(n) - w // 2, 0, n - w)
-        return np.einsum("ij,ij->i", rows[np.arange(n) - base], np.lib.stride_tricks.sliding_window_view(a, w)[base])
+        return savgol_values(a, w)
     return np.convolve(np.pad(a, w // 2, mode="edge"), np.ones(w) / w, "valid")
 
 
