@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracespark.operators import signals as op
 from tracespark.operators.deliveries import latest_chunks
-from tracespark.runtime import table
+from tracespark.runtime import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -24,7 +24,7 @@ def _q(sql: str | None):
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "acceleration")
+    a = spread(table(spark, d, "acceleration"))  # few large rows: every core gets some
     return a.select(F.col("video_id").alias("episode"), F.col("segment_id").alias("segment"), "first_idx", F.transform("acceleration", lambda x: x.cast("double")).alias("a")).where("a is not null")
 
 
