@@ -34,6 +34,18 @@ def test_planted_cuts(spark):
     assert not any(x.text_id in (2004, 2006) for x in out)
 
 
+def test_dots_are_an_ellipsis(spark):
+    for x in ("The arm lifts the...", "The arm lifts the..", 'He said "it lifts the..."', "(it lifts the...)", "The arm lifts the…", "It lifts the…”"):
+        assert not tr.finished(x) and tr._BROKEN.search(x)
+    assert tr.finished("The arm lifts.") and tr.finished('"The arm lifts."') and not tr._BROKEN.search("The arm lifts.")
+    assert tr.sentence_of("One. The arm... lifts the".split()) == "The arm... lifts the".split()
+    words = [f"w{i}" for i in range(40)]
+    assert tr.ends_early(" ".join(words[:36]) + "...", " ".join(words) + ".")
+    rows = [(1, "a", "1", "The left arm lifts the...", None), (2, "a", "1", "The left arm lifts the bowl.", None)]
+    out = tr.find_cut_texts(spark.createDataFrame(rows, T), ["short_description"]).collect()
+    assert {(x.text_id, x.cut, x.reason) for x in out} == {(1, True, "broken"), (2, False, None)}
+
+
 def test_near_copies_end_early():
     words = [f"w{i}" for i in range(40)]
     whole = " ".join(words) + "."

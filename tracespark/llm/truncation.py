@@ -31,13 +31,15 @@ LIMIT_LENGTHS = 1 << 16
 
 _FINISHED = re.compile(r"[.!?。！？][\"'”’)\]»]*$|\w[\"”’)\]»]+$")
 _OPEN = {"(": ")", "[": "]", "“": "”", "«": "»"}
-_BROKEN = re.compile(r"(?:…|�|\\(?:u[0-9a-fA-F]{0,3})?|[,;:–—→/(\[“«-])$")
+_ELLIPSIS = re.compile(r"(?:…|\.{2,})[\"'”’)\]»]*$")  # one character or a run of dots
+_BROKEN = re.compile(_ELLIPSIS.pattern + r"|(?:�|\\(?:u[0-9a-fA-F]{0,3})?|[,;:–—→/(\[“«-])$")
+_SENTENCE_END = re.compile(r"[.!?。！？][\"'”’)\]»]*$")
 
 
 def finished(text: str) -> bool:
     """Ends with a closing mark, and nothing it opened is left open."""
     t = text.rstrip()
-    if not _FINISHED.search(t) or t.endswith("…"):
+    if not _FINISHED.search(t) or _ELLIPSIS.search(t):
         return False
     return not left_open(t)
 
@@ -46,6 +48,10 @@ def left_open(t: str) -> bool:
     return any(t.count(a) > t.count(b) for a, b in _OPEN.items()) or (t.startswith('"') and t.count('"') % 2 == 1)
 
 
+def ends_sentence(word: str) -> bool:
+    return bool(_SENTENCE_END.search(word)) and not _ELLIPSIS.search(word)
+
+
 def words_of(text: str) -> list[str]:
     return re.sub(r"\d+", "0", text).split()
 
@@ -53,7 +59,7 @@ def words_of(text: str) -> list[str]:
 def sentence_of(words: list[str]) -> list[str]:
     """The words since the last finished sentence."""
     k = len(words)
-    while k > 0 and not re.search(r"[.!?。！？][\"'”’)\]»]*$", words[k - 1] if k < len(words) else words[k - 1] + "~"):
+    while k > 0 and not ends_sentence(words[k - 1] if k < len(words) else words[k - 1] + "~"):
         k -= 1
     return words[k:]
 
@@ -101,7 +107,9 @@ def train(texts: list[str], known: np.ndarray, epochs: int = 4, seed: int = 7) -
         words = words_of(t)
         start = 0
         for i, w in enumerate(words):
-            ends = bool(re.search(r"[.!?。！？][\"'”’)\]»]*$", w)) or i == len(words) - 1
+            if i == len(words) - 1 and _ELLIPSIS.search(w):
+                break  # an ellipsis tells nothing of where sentences end
+            ends = ends_sentence(w) or i == len(words) - 1
             sentence = words[start : i + 1]
             if ends:
                 add([*sentence[:-1], re.sub(r"[.!?。！？\"'”’)\]»]+$", "", w) or w], 1)
@@ -212,7 +220,7 @@ def ends_early(text: str, copy: str) -> bool:
     a, b = set(shingle_hashes(text).tolist()), set(shingle_hashes(copy).tolist())
     if not a or not b or len(a & b) < SIMILAR * len(a | b):
         return False
-    t, c = text.rstrip().rstrip("…�").rstrip(), copy.rstrip()
+    t, c = _ELLIPSIS.sub("", text.rstrip()).rstrip("…�").rstrip(), copy.rstrip()
     tw = t.split()
     # Align the text's closing words in the copy; the last may be half a word.
     tail = re.escape(" ".join(tw[-4:-1])).replace(r"\ ", r"\s+") + r"\s+" + re.escape(tw[-1])
