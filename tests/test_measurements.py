@@ -38,6 +38,19 @@ def test_planted_trajectories(spark):
     assert f[1000][1] == 1 and f[1001][2] >= 10 and f[1002][0] == 1 and f[1004][1] == 1 and f[1005][0] == 1
 
 
+def test_runs_of_spikes(spark):
+    rng = np.random.default_rng(4)
+    rows = [sample(i, walk(rng)) for i in range(200)]
+    two, three, apart, hidden, moved, twice = (walk(rng) for _ in range(6))
+    for pts, bad in ((two, [20, 21]), (three, [20, 21, 22]), (apart, [10, 11, 30, 31]), (hidden, [20, 22]), (moved, range(20, 40)), (twice, [10, 25, 26])):
+        for k in bad:
+            pts[k][0] += 90
+    hidden[21] = [0.0, 0.0, -1.0]  # impossible, between two spikes
+    rows += [sample(1000 + i, x) for i, x in enumerate((two, three, apart, hidden, moved, twice))]
+    f = {r.sample_id: r.spike for r in flag_trajectories(spark.createDataFrame(rows, S)).collect()}
+    assert {i: n for i, n in f.items() if n} == {1000: 2, 1001: 3, 1002: 4, 1003: 2, 1005: 3}
+
+
 C = "video_id string, chunk_id int, dataset string, start_idx int, end_idx int, peak_acceleration float, mean_acceleration float"
 
 

@@ -2,8 +2,9 @@
 
 States are normal, spike, stuck and out-of-range. A reading's evidence is
 
-* ``u``: how far it stands from both neighbours, in units of the source's 99th percentile of such
-  steps (a step over hidden readings is divided by the root of the frames it spans),
+* ``u``: how far it stands from both neighbours, or, in a run of readings between two leaps, from the
+  readings on both sides of the run, in units of the source's 99th percentile of steps to the nearer
+  neighbour (a step over hidden readings is divided by the root of the frames it spans),
 * ``same``: whether it repeats the reading before it exactly,
 * ``out``: whether it breaks a hard bound.
 
@@ -118,6 +119,42 @@ def trajectory_evidence(p: np.ndarray, t: np.ndarray, depth_limit: float) -> tup
     return isolated(sxy), isolated(sz), same, out
 
 
+def run_evidence(p: np.ndarray, t: np.ndarray, usable: np.ndarray, qxy: float, qz: float, leap: float) -> np.ndarray:
+    """Distance of each reading in a run of two or more bad readings from those on both sides of the run; 0 elsewhere.
+
+    A run lies between two leaps of more than ``leap`` units, of any length up to half of the readings, and
+    what stands on both sides is nearer to each other than half the smaller leap, else the track has moved.
+    Shorter runs go first; their readings are no sides of longer ones. Only rows with two leaps are looked at.
+    """
+    order = np.argsort(~usable, axis=1, kind="stable")  # usable readings to the left
+    n = usable.sum(1)
+    P, T = np.take_along_axis(p, order[..., None], 1).astype(np.float64), np.take_along_axis(t, order, 1)
+    per = np.array([1 / qxy if qxy == qxy else 0.0, 1 / qz if qz == qz else 0.0])
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = a - b
+        return np.maximum(np.hypot(d[..., 0], d[..., 1]) * per[0], np.abs(d[..., 2]) * per[1])
+
+    with np.errstate(invalid="ignore"):
+        step = apart(P[:, 1:], P[:, :-1]) / np.sqrt(np.maximum(np.diff(T, axis=1), 1))
+    leaps = (step > leap) & (np.arange(1, P.shape[1])[None] < n[:, None])
+    u = np.zeros(t.shape)
+    for r in np.flatnonzero(leaps.sum(1) > 1):
+        at, x, when = np.flatnonzero(leaps[r]), P[r], T[r]
+        bad = np.zeros(len(x), bool)
+        for a, b in sorted(((a, b) for i, a in enumerate(at) for b in at[i + 1 :] if 2 * (b - a) <= n[r]), key=lambda ab: (ab[1] - ab[0], ab[0])):
+            if bad[a] or bad[b + 1]:
+                continue
+            run = np.arange(a + 1, b + 1)
+            if len(run) == 1:  # its step to both neighbours tells already
+                bad[run] = True
+            elif apart(x[a], x[b + 1]) <= min(step[r, a], step[r, b]) / 2:
+                far = np.minimum(apart(x[run], x[a]) / np.sqrt(when[run] - when[a]), apart(x[run], x[b + 1]) / np.sqrt(when[b + 1] - when[run]))
+                u[r, order[r, run]] = np.maximum(u[r, order[r, run]], far)
+                bad[run[far > leap]] = True
+    return u
+
+
 def _arrow_points(raw, flags) -> tuple[np.ndarray, np.ndarray]:
     """(rows, steps, 3) points, left-aligned at the steps flagged valid, and their step numbers (-1 beyond).
 
@@ -186,7 +223,8 @@ def flag_trajectories(samples: DataFrame, ident: str = "sample_id", video: str =
 
     Only steps flagged valid count. Impossible: not finite, depth not above 0 or at least
     ``depth_limit`` metres. A spike stands far from both neighbours (from its only neighbour at an end)
-    in the image or in depth; a step across hidden readings is judged by the root of the frames it spans. Stuck: a run in which
+    in the image or in depth; a step across hidden readings is judged by the root of the frames it spans.
+    A run of readings that leap away and come back is a run of spikes; one that never comes back is a move. Stuck: a run in which
     all three coordinates repeat exactly, longer than the source's own repeats explain. Null lists,
     structs, flags and coordinates are no readings; a sample without readings has zero counts; a null
     source is a source of its own. Repeated rows are each flagged. An empty table gives an empty result.
@@ -206,6 +244,7 @@ def flag_trajectories(samples: DataFrame, ident: str = "sample_id", video: str =
                 m = src == s
                 qxy, qz, repeat = scales.get(s, (float("nan"), float("nan"), 0.0))  # a source without readings has no scale
                 u = np.fmax(xy[m] / qxy if qxy == qxy else 0 * xy[m], z[m] / qz if qz == qz else 0 * z[m])
+                u = np.maximum(u, run_evidence(p[m], t[m], (t[m] >= 0) & ~out[m], qxy, qz, model.spike_from))
                 g = posteriors(np.where(out[m], 0, u), same[m], t[m] >= 0, repeat, model)
                 ps[m], pk[m] = g[..., SPIKE] * ~out[m], g[..., STUCK] * ~out[m]
             counts = [x.sum(1).astype(np.int32) for x in (out, ps > model.decide, pk > model.decide)]
