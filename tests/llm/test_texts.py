@@ -62,6 +62,27 @@ def test_near_copy_table(spark):
     assert [r.text for r in tr.near_copy_cuts(spark.createDataFrame(rows, "text string")).collect()] == [" ".join(words[:35])]
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_every_bucket_mate_is_a_copy(spark, monkeypatch, hot):
+    monkeypatch.setattr(tr, "HOT", hot)
+    words = [f"w{i}" for i in range(60)]
+    cut = " ".join(words[:50])
+    copy = " ".join(words[:55]) + "."
+    longer = [f"x{i}{'y' * 60} {cut}." for i in range(20)]  # end where the text ends, longer in every bucket
+    bands = {x: tr.band_keys([x])[0] for x in (cut, copy, *longer)}
+    assert all(max((x for x in bands if bands[x][k] == bands[cut][k]), key=len) != copy for k in range(tr.BANDS))
+    rows = [(x,) for x in bands]
+    assert [r.text for r in tr.near_copy_cuts(spark.createDataFrame(rows, "text string")).collect()] == [cut]
+
+
+def test_closing_phrases_that_occur_twice_are_aligned():
+    phrase, words = "and sets it on", [f"w{i}" for i in range(40)]
+    whole = " ".join([*words[:20], phrase, *words[20:], phrase, "the tray"]) + "."
+    assert tr.ends_early(" ".join([*words[:20], phrase, *words[20:], phrase]), whole)
+    ended = whole.removesuffix(" the tray.") + "."
+    assert not tr.ends_early(ended[:-1], ended)
+
+
 def test_limits_need_a_pile():
     h = {n: 2 for n in range(20, 60)}
     assert tr.find_limits(h) == [] and tr.find_limits(h | {60: 40}) == [60]

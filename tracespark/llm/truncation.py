@@ -3,8 +3,8 @@
 Three kinds of evidence, each from all texts:
 
 * near copies: min-hash bands over five-word shingles name candidates; each text is verified (Jaccard
-  similarity at least 0.8) against the longest text of its buckets and aligned word by word. The copy
-  whose alignment ends early was cut.
+  similarity at least 0.8) against every text of its buckets that can be as similar and holds its closing
+  words, and aligned word by word. The copy whose alignment ends early was cut.
 * a pile of unfinished texts at one length of a (source, field, version), in characters or bytes: a limit.
 * terminality: a logistic model of closing words and their context, trained on the corpus itself
   (sentence ends against all places inside sentences), gives the chance that an unfinished text is over.
@@ -28,6 +28,7 @@ TRAINING_TEXTS = 12_000  # texts the closing-word model is fitted on, chosen by
 DIM = 1 << 18
 VOCAB = 1 << 20
 LIMIT_LENGTHS = 1 << 16
+HOT = 256  # texts in a bucket from which on its pairs are made by closing words
 
 _FINISHED = re.compile(r"[.!?。！？][\"'”’)\]»]*$|\w[\"”’)\]»]+$")
 _OPEN = {"(": ")", "[": "]", "“": "”", "«": "»"}
@@ -215,19 +216,49 @@ def band_keys(texts: list[str], at_once: int = 1024) -> list[list[int]]:
     return out
 
 
+def without_ellipsis(text: str) -> str:
+    return _ELLIPSIS.sub("", text.rstrip()).rstrip("…�").rstrip()
+
+
+def outline(text: str) -> tuple[int, int, list[int]]:
+    """Number of distinct shingles, code of the two words before the last, codes of all pairs of neighbouring words.
+
+    ends_early() holds only for a copy that has the text's pair of words; 0 stands for texts too short to have one and is among every copy's.
+    """
+    c = np.array(word_codes(text), np.uint64)
+    with np.errstate(over="ignore"):
+        pairs = ((c[:-1] * _MIX[0]) ^ (c[1:] * _MIX[1])).view(np.int64) if len(c) > 1 else np.zeros(0, np.int64)
+    n = len(without_ellipsis(text).split())
+    return len(set(_shingled(c).tolist())), int(pairs[n - 3]) if n > 3 else 0, [0, *set(pairs.tolist())]
+
+
+def _aligned(t: str, c: str, found: list[re.Match]) -> re.Match:
+    """Of several places of a closing phrase in the copy, the one with the most words before it in common; then the nearest to the text's end."""
+    if len(found) == 1:
+        return found[0]
+    before = t.split()[:-1]
+
+    def rank(m: re.Match) -> tuple[int, int]:
+        words = c[: m.end()].split()[:-1]
+        same = next((k for k, (x, y) in enumerate(zip(reversed(before), reversed(words))) if x != y), min(len(before), len(words)))
+        return same, -abs(m.end() - len(t))
+
+    return max(found, key=rank)
+
+
 def ends_early(text: str, copy: str) -> bool:
     """Whether text, verified as a near copy of copy, stops where copy goes on within the sentence or word."""
     a, b = set(shingle_hashes(text).tolist()), set(shingle_hashes(copy).tolist())
     if not a or not b or len(a & b) < SIMILAR * len(a | b):
         return False
-    t, c = _ELLIPSIS.sub("", text.rstrip()).rstrip("…�").rstrip(), copy.rstrip()
+    t, c = without_ellipsis(text), copy.rstrip()
     tw = t.split()
     # Align the text's closing words in the copy; the last may be half a word.
     tail = re.escape(" ".join(tw[-4:-1])).replace(r"\ ", r"\s+") + r"\s+" + re.escape(tw[-1])
     found = list(re.finditer(tail, c))
-    if len(found) != 1:
+    if not found:
         return False
-    rest = c[found[0].end() :]
+    rest = c[_aligned(t, c, found).end() :]
     # What follows in the copy must belong to the sentence: neither a new one nor a remark in brackets.
     return bool(rest) and not re.match(r"[.!?。！？\"'”’)\]»\s]*$|[.!?。！？]|\s*[(\[]", rest) and not finished(text)
 
@@ -235,16 +266,29 @@ def ends_early(text: str, copy: str) -> bool:
 def near_copy_cuts(texts: DataFrame) -> DataFrame:
     """``text`` of every text that ends early beside a verified near copy.
 
-    texts: one column ``text``, distinct. Each text meets the longest text of each of its buckets, so a
-    bucket with a third of all texts costs one aggregation buffer per task and one comparison per text.
+    texts: one column ``text``, distinct. Each unfinished text meets every text of its buckets whose number of
+    shingles allows the similarity and that holds its closing pair of words; both are needed for a verified
+    copy, so none is lost. In buckets of more than ``HOT`` texts the closing pair is part of the join key.
     """
     bands = F.pandas_udf(lambda t: pd.Series(band_keys(t.tolist())), "array<bigint>")
+    shape = F.pandas_udf(lambda t: pd.DataFrame([outline(x) for x in t], columns=["size", "tail", "pairs"]), "size int, tail bigint, pairs array<bigint>")
     over = F.pandas_udf(lambda t: pd.Series([finished(x) for x in t]), "boolean")
     named = texts.select("text", F.xxhash64("text").alias("tid"))
     # Only numbers travel with the bands; the texts of candidate pairs are fetched afterwards.
-    banded = stored(spread(named).select("tid", F.length("text").alias("n"), over("text").alias("over"), F.posexplode(bands("text")).alias("band", "key")), "bands")
-    longest = banded.groupBy("band", "key").agg(F.max(F.struct("n", "tid")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("m.n").alias("copy_n"), F.col("m.tid").alias("copy"))
-    pairs = banded.where("not over").join(longest, ["band", "key"]).where("n < copy_n").select("tid", "copy").distinct()
+    shaped = stored(spread(named).select("tid", over("text").alias("over"), bands("text").alias("keys"), shape("text").alias("s")).select("tid", "over", "keys", "s.*"), "shapes")
+    banded = shaped.select("tid", "size", "over", F.posexplode("keys").alias("band", "key"))
+    wanted = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("over")).alias("u")).where("k > 1 and u > 0").drop("u")
+    members = stored(banded.join(wanted, ["band", "key"]), "members")
+    cut, mate = members.where("not over").drop("over"), members.select("band", "key", "k", F.col("tid").alias("copy"), F.col("size").alias("copy_size"))
+    tails, held = shaped.where("not over").select("tid", "tail"), shaped.select(F.col("tid").alias("copy"), "pairs")
+    fits = (F.col("tid") != F.col("copy")) & (F.least("size", "copy_size") >= SIMILAR * F.greatest("size", "copy_size"))
+    few = cut.where(F.col("k") <= HOT).drop("k").join(mate.where(F.col("k") <= HOT).drop("k"), ["band", "key"]).where(fits).select("tid", "copy").distinct()
+    few = few.join(tails, "tid").join(held, "copy").where(F.array_contains("pairs", F.col("tail"))).select("tid", "copy")
+    hot = cut.where(F.col("k") > HOT).drop("k").join(tails, "tid")
+    hot_mate = mate.where(F.col("k") > HOT).drop("k").join(held, "copy").withColumn("tail", F.explode("pairs")).drop("pairs")
+    hot_mate = hot_mate.join(hot.select("band", "key", "tail").distinct(), ["band", "key", "tail"], "left_semi")
+    many = hot.join(hot_mate, ["band", "key", "tail"]).where(fits).select("tid", "copy")
+    pairs = few.unionByName(many).distinct()
     full = pairs.join(named, "tid").join(named.select(F.col("tid").alias("copy"), F.col("text").alias("copy_text")), "copy")
     early = F.pandas_udf(lambda t, c: pd.Series([ends_early(x, y) for x, y in zip(t, c)]), "boolean")
     return full.where(early("text", "copy_text")).select("text").distinct()
