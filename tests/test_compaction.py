@@ -30,6 +30,16 @@ def test_blocks_survive_once(spark):
     assert {(r.file_id, r.frame_index, r.first_file_id) for r in c.dropped.collect()} == {(2, 1, 1), (5, 2, 1), (8, 3, 7)}
 
 
+def test_a_null_file_loses_no_blocks(spark):
+    big = 2**53 + 1
+    rows = [*ROWS, (None, "n", [1], [0, 1], [P[0]], 7), (None, "v", [1], [0, 2], [P[0], P[1]], 7), (big, "b", [1], [0, 1], [P[0]], 7)]
+    c = compact(spark.createDataFrame(rows, SCHEMA))
+    blocks = {(r.file_id, r.video_id, r.frame_index) for r in c.blocks.collect()}
+    assert blocks == {(1, "v", 1), (1, "v", 2), (3, "v", 1), (4, "w", 1), (7, "v", 3), (9, None, 1), (10, None, 1), (None, "n", 1), (big, "b", 1)}
+    assert {i for r in c.journal.collect() for i in r.inputs if not i.startswith("txn:")} == {*(str(r[0]) for r in ROWS), "null", str(big)}
+    assert compact(spark.createDataFrame(rows, SCHEMA), committed=c.journal).blocks.count() == 0
+
+
 def test_journal_covers_every_file_and_is_idempotent(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     a, b = compact(df), compact(df)

@@ -154,15 +154,17 @@ def compact(files: DataFrame, root: str | None = None, target_bytes: int = TARGE
 
     Null or negative n_bytes count as 0. Files without lists hold no blocks; they are in the journal
     as inputs. Rows repeated under one file_id count as deliveries of the same file: their blocks
-    survive once and none is a later delivery. An empty table gives empty tables. Other columns are
+    survive once and none is a later delivery. Rows without a file_id are one file, "null" in the journal,
+    which comes after all others; its repeats of their blocks do not survive and are no later deliveries. An empty table gives empty tables. Other columns are
     ignored.
     """
     spark = files.sparkSession
     root = root or work_dir(spark, "compaction")
     files = files.select("file_id", "video_id", "frame_indices", "offsets", "keypoints", "n_bytes")
+    name = F.coalesce(F.col("file_id").cast("string"), F.lit("null"))  # in the journal
     if committed is not None:
         used = committed.select(F.explode("inputs").alias("_id")).where("_id not like 'txn:%'").distinct()
-        files = files.join(used, files.file_id.cast("string") == used._id, "left_anti")
+        files = files.join(used, name == used._id, "left_anti")
 
     sizes = files.groupBy("file_id").agg(F.greatest(F.coalesce(F.max("n_bytes"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_bytes"))
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
@@ -171,11 +173,11 @@ def compact(files: DataFrame, root: str | None = None, target_bytes: int = TARGE
     def plan(key: tuple, rows):
         import pandas as pd
 
-        out = merge_plan([(str(i), int(n)) for i, n in zip(rows["file_id"], rows["n_bytes"])], int(key[0]), target_bytes, fanout)
+        out = merge_plan([(str(i), int(n)) for i, n in zip(rows["_name"], rows["n_bytes"])], int(key[0]), target_bytes, fanout)
         return pd.DataFrame(out, columns=["lane", "txn", "level", "inputs", "output", "in_bytes", "final"])
 
     lane = F.pmod(F.xxhash64("file_id"), F.lit(lanes))
-    sizes.select(lane.alias("lane"), "file_id", "n_bytes").groupBy("lane").applyInPandas(plan, JOURNAL).write.parquet(f"{root}/journal")
+    sizes.select(lane.alias("lane"), name.alias("_name"), "n_bytes").groupBy("lane").applyInPandas(plan, JOURNAL).write.parquet(f"{root}/journal")
     journal = spark.read.schema(JOURNAL).parquet(f"{root}/journal")
 
     # Which final output each file ends in: follow the merges upwards, one level a step; lanes keep it narrow.
@@ -195,13 +197,13 @@ def compact(files: DataFrame, root: str | None = None, target_bytes: int = TARGE
 
     blocks = block_identity(frame_blocks(files))
     # Only fingerprints go through the aggregation; exact copies of a hot block combine map-side.
-    first = blocks.groupBy("h1", "h2").agg(F.min(F.struct("file_id", "place")).alias("_first"))
+    first = blocks.groupBy("h1", "h2").agg(F.min(F.struct(F.col("file_id").isNull().alias("unnamed"), "file_id", "place")).alias("_first"))
     marked = blocks.join(first, ["h1", "h2"]).dropDuplicates(["h1", "h2", "file_id", "place"])
-    is_first = (F.col("file_id") == F.col("_first.file_id")) & (F.col("place") == F.col("_first.place"))
+    is_first = F.col("file_id").eqNullSafe(F.col("_first.file_id")) & (F.col("place") == F.col("_first.place"))
     n_out = journal.where("final").select("output").distinct().count()
     # One pass writes both parts: survivors with their points, later deliveries as a note without them.
     frames = (
-        marked.join(home, F.col("file_id").cast("string") == F.col("_file"))
+        marked.join(home, name == F.col("_file"))
         .select(is_first.alias("kept"), "output", "video_id", "frame_index", F.when(is_first, F.col("keypoints")).alias("keypoints"), "file_id", F.size("keypoints").alias("n_points"), F.col("_first.file_id").alias("first_file_id"))
     )
     (
