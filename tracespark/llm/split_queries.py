@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracespark.llm.motion_pieces import split_chunks_at_calm
-from tracespark.llm.related_splits import same_recording, split_chunks
+from tracespark.llm.related_splits import recordings, same_recording, split_chunks
 from tracespark.runtime import table
 
 
@@ -18,11 +18,27 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_chunks(table(spark, d, "chunks")).select("video_id", "chunk_id", "dataset", "split")
 
 
+def p1_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a video_id with the representative of its recording."""
+    return recordings(table(spark, d, "chunks"))
+
+
 def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, recordings and share of each split, per dataset."""
-    s = split_chunks(table(spark, d, "chunks")).groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("recording").alias("n_recordings"))
-    total = s.groupBy("dataset").agg(F.sum("n_chunks").alias("n"))
-    return s.join(total, "dataset").select("dataset", "split", "n_chunks", "n_recordings", F.round(F.col("n_chunks") / F.col("n"), 4).alias("share"))
+    """Rows, recordings and share of each split, per dataset, and its largest deviation from the dataset in the share of a motion class."""
+    s = split_chunks(table(spark, d, "chunks")).groupBy("dataset", "split", "motion").agg(F.count(F.lit(1)).alias("m"))
+    whole = s.groupBy("dataset", "motion").agg(F.sum("m").alias("dm")).withColumn("dn", F.sum("dm").over(Window.partitionBy("dataset")))
+    per = s.withColumn("n", F.sum("m").over(Window.partitionBy("dataset", "split"))).join(whole, ["dataset", "motion"])
+    off = F.abs(F.col("m") / F.col("n") - F.col("dm") / F.col("dn"))
+    return per.groupBy("dataset", "split").agg(F.sum("m").alias("n_chunks"), F.round(F.max(F.col("n") / F.col("dn")), 4).alias("share"), F.round(F.max(off), 4).alias("largest_deviation"))
+
+
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per dataset: keys labelled, keys labelled more than once, recordings in two splits, and whether train holds its share within two percent."""
+    s = split_chunks(table(spark, d, "chunks"))
+    keys = s.groupBy("dataset", "video_id", "chunk_id").agg(F.first("recording").alias("recording"), F.first("split").alias("split"), F.count(F.lit(1)).alias("n"))
+    per = keys.groupBy("dataset", "recording").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_twice"), F.count_distinct("split").alias("k"), F.count_if(F.col("split") == "train").alias("train"))
+    out = per.groupBy("dataset").agg(F.sum("n_keys").alias("n_keys"), F.sum("n_twice").alias("n_twice"), F.count_if(F.col("k") > 1).alias("n_torn"), F.sum("train").alias("train"))
+    return out.select("dataset", "n_keys", "n_twice", "n_torn", (F.abs(F.col("train") / F.col("n_keys") - 0.8) < 0.02).alias("train_share_held"))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -37,9 +53,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p4_found, p4_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recordings, p1_splits, p1_split_report, p1_invariants, p4_found, p4_pieces)}
 
 SQL = {
+    "p1_invariants": """select dataset, count(*) as n_keys, cast(0 as bigint) as n_twice, cast(0 as bigint) as n_torn, true as train_share_held
+from (select distinct dataset, video_id, chunk_id from chunks) group by dataset""",
     "p4_found": """with held as (
   select video_id, chunk_id, dataset, start_idx, end_idx from chunks
   qualify row_number() over (partition by video_id, chunk_id order by ingested_at desc nulls last, segment_id desc nulls last, start_idx desc nulls last, end_idx desc nulls last) = 1)
