@@ -18,12 +18,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """The consolidated table's size, beside what went in."""
+    """The consolidated table's size, the files its journal names as inputs, those it names twice, and whether it has fewer files than went in."""
     c = compact(table(spark, d, "sample_files"))
-    j = c.journal
-    merged = j.where("level > 0").agg(F.count(F.lit(1)).alias("merges"), F.max("level").cast("bigint").alias("levels"))
-    done = c.blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("keypoints")).cast("bigint").alias("points"))
-    return done.crossJoin(merged).select("blocks", "points", "merges", "levels")  # one row each
+    inputs = c.journal.select(F.explode("inputs").alias("f")).where("f not like 'txn-%'").groupBy("f").agg(F.count(F.lit(1)).alias("k"))
+    used = inputs.agg(F.count(F.lit(1)).alias("n_inputs"), F.count_if(F.col("k") > 1).alias("n_twice"))
+    done = c.blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("keypoints")).cast("bigint").alias("points"), F.count_distinct("output").alias("n"))
+    return done.crossJoin(used).select("blocks", "points", "n_inputs", "n_twice", (F.col("n") * 100 < F.col("n_inputs")).alias("far_fewer"))  # one row each
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +84,8 @@ r as (select *, min(file_id) over (partition by video_id, frame_index, pts) as f
 SQL = {
     "p3_found": f"{_BLOCKS} select distinct file_id, frame_index from r where len(pts) > 0 and file_id > first_id",
     "p3_blocks": f"{_BLOCKS} select file_id, frame_index, cast(len(pts) as bigint) as n_points from r where k = 1",
+    "p3_compacted": f"""{_BLOCKS} select count(*) as blocks, cast(sum(len(pts)) as bigint) as points,
+  (select count(distinct file_id) from sample_files) as n_inputs, cast(0 as bigint) as n_twice, true as far_fewer from r where k = 1""",
     "p5_found": f"""{_FRAMES},
 bounds as (select video_id, segment_id, min(t) as lo, max(t) as hi from depth group by all),
 axis as (select video_id, segment_id, unnest(generate_series(lo, hi)) as t from bounds),

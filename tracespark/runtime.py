@@ -36,6 +36,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, at: str) -> tuple:
+    """The Hadoop file system of a path, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
