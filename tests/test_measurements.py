@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracespark.operators.measurement_hmm import flag_peaks, flag_trajectories, posteriors
+from tracespark.operators.measurement_hmm import NORMAL, SPIKE, Prior, Source, _shares_frames, fit_sources, flag_peaks, flag_trajectories, forward_backward, step_likelihoods
 
 S = "sample_id bigint, video_id string, dataset string, raw_traj array<struct<x:float,y:float,z:float>>, raw_valid_steps array<boolean>"
 
@@ -80,9 +80,39 @@ def test_empty_tables(spark):
     assert flag_peaks(spark.createDataFrame([], C)).count() == 0
 
 
-def test_posteriors_are_probabilities():
+def test_posteriors_are_probabilities_and_counts_add_up():
     u = np.abs(np.random.default_rng(0).normal(0, 1, (5, 30)))
     v = np.ones(u.shape, bool)
     v[2, 10:] = False
-    g = posteriors(u, np.zeros(u.shape, bool), v, 0.01)
+    out = np.zeros(u.shape, bool)
+    out[3, 7], u[1, 4] = True, 60.0
+    e = step_likelihoods(u, np.zeros(u.shape, bool), out, Source(), Prior())
+    g, n = forward_backward(e, v, Prior().transitions(), counts=True)
     assert np.allclose(g.sum(-1)[v], 1) and np.all(g[~v] == 0)
+    assert np.isclose(n.sum(), v.sum()) and g[3, 7].argmax() == 3 and g[1, 4].argmax() == SPIKE and g[0].argmax(1).max() == NORMAL
+
+
+def test_sources_have_their_own_parameters(spark):
+    rng = np.random.default_rng(7)
+
+    def scaled(i, source, k, depth, bad):
+        p = [[k * x, k * y, depth * z] for x, y, z in walk(rng)]
+        if bad:
+            p[20][0] += 60 * k
+        return (i, "v", source, [tuple(x) for x in p], [True] * len(p))
+
+    rows = [scaled(i, "calm", 1.0, 1.0, i % 20 == 0) for i in range(200)] + [scaled(1000 + i, "fast", 50.0, 30.0, False) for i in range(200)]
+    rows.append((5000, "v", "calm", [(200.0, 200.0, 400.0)] * 3, [True] * 3))  # impossible here, not in a source 30 times as deep
+    rows.append((5001, "v", "fast", [(200.0, 200.0, 400.0)], [True]))
+    df = spark.createDataFrame(rows, S)
+    m = fit_sources(df, "dataset")
+    assert 40 < m["fast"].step / m["calm"].step < 60 and m["calm"].depth_limit < 400 < m["fast"].depth_limit
+    assert m["calm"].a[NORMAL, SPIKE] > 10 * m["fast"].a[NORMAL, SPIKE] and np.allclose(m["calm"].a.sum(1), 1)
+    f = {r.sample_id: r for r in flag_trajectories(df, fitted=m).collect()}
+    assert {i for i in f if f[i].spike} == set(range(0, 200, 20)) and f[5000].impossible == 3 and not f[5001].impossible
+
+
+def test_frames_shared_with_any_chunk_of_a_run():
+    a = np.array([100.0 * i for i in range(20)] + [5.0, 1900.0, 5000.0, np.nan])
+    again = np.r_[False, np.ones(23, bool)]
+    assert _shares_frames(again, a, a + 50).tolist() == [False] * 20 + [True, True, False, True]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracespark.operators.compaction import compact
 from tracespark.operators.deliveries import latest_chunks
 from tracespark.operators.interval_runs import interval_runs
-from tracespark.operators.measurement_hmm import flag_peaks, flag_trajectories
+from tracespark.operators.measurement_hmm import NORMAL, OUT, SPIKE, STUCK, fit_sources, flag_peaks, flag_trajectories
 from tracespark.runtime import table
 
 
@@ -58,11 +58,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_source_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per dataset: samples and how many of them hold each kind of implausible reading."""
+    """Per dataset: samples, how many of them hold each kind of implausible reading, and the parameters fitted to it."""
     s = table(spark, d, "samples")
-    f = flag_trajectories(s, video="dataset")
+    fitted = fit_sources(s, "dataset")
+    f = flag_trajectories(s, video="dataset", fitted=fitted)
     n = lambda c: F.count_if(F.col(c) > 0).alias(f"n_{c}")
-    return f.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_samples"), n("impossible"), n("spike"), n("stuck"))
+    per = f.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_samples"), n("impossible"), n("spike"), n("stuck"))
+    rows = [(k, *(float(f"{x:.4g}") for x in (m.step, m.depth_step, m.tail, m.repeat, m.depth_limit, m.a[NORMAL, SPIKE], m.a[NORMAL, STUCK], m.a[STUCK, STUCK], m.a[NORMAL, OUT]))) for k, m in fitted.items()]
+    model = spark.createDataFrame(rows, "source string, step_scale double, depth_step_scale double, tail double, repeat_rate double, depth_limit double, spike_rate double, stuck_rate double, stuck_stay double, out_rate double")
+    return per.join(model, per.dataset.eqNullSafe(model.source), "left").drop("source")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_compacted, p3_blocks, p5_found, p5_periods, p6_found, p6_source_report)}
