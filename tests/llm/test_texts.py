@@ -40,26 +40,56 @@ def test_dots_are_an_ellipsis(spark):
     assert tr.finished("The arm lifts.") and tr.finished('"The arm lifts."') and not tr._BROKEN.search("The arm lifts.")
     assert tr.sentence_of("One. The arm... lifts the".split()) == "The arm... lifts the".split()
     words = [f"w{i}" for i in range(40)]
-    assert tr.ends_early(" ".join(words[:36]) + "...", " ".join(words) + ".")
+    assert tr.told_by(" ".join(words[:36]) + "...", " ".join(words) + ".") == tr.GOES_ON
     rows = [(1, "a", "1", "The left arm lifts the...", None), (2, "a", "1", "The left arm lifts the bowl.", None)]
     out = tr.find_cut_texts(spark.createDataFrame(rows, T), ["short_description"]).collect()
     assert {(x.text_id, x.cut, x.reason) for x in out} == {(1, True, "broken"), (2, False, None)}
 
 
+def bands(*texts):
+    return tr.band_keys([tr.word_codes(t) for t in texts])
+
+
 def test_near_copies_end_early():
     words = [f"w{i}" for i in range(40)]
     whole = " ".join(words) + "."
-    assert tr.ends_early(" ".join(words[:36]), whole) and tr.ends_early(" ".join(words[:36]) + " w3", whole.replace("w36", "w3644"))
-    assert not tr.ends_early(" ".join(words), whole) and not tr.ends_early(" ".join(words[:20]), whole)
-    assert not tr.ends_early(" ".join(words), " ".join(words) + ". More here.") and not tr.ends_early("a b", "a b c")
-    a, b, none = tr.band_keys([whole, " ".join(words[:37]), "too short"])
+    assert tr.told_by(" ".join(words[:36]), whole) == tr.told_by(" ".join(words[:36]) + " w3", whole.replace("w36", "w3644")) == tr.GOES_ON
+    assert tr.told_by(" ".join(words), whole) == tr.ENDS_TOO and tr.told_by(" ".join(words), whole[:-1] + "?") == tr.ENDS_TOO
+    assert tr.told_by(" ".join(words[:20]), whole) == tr.told_by(" ".join(words), " ".join(words) + ". More here.") == tr.told_by("a b", "a b c") == tr.told_by(whole, whole + " x.") == 0
+    a, b, none = bands(whole, " ".join(words[:37]), "too short")
     assert len(a) == tr.BANDS and set(a) & set(b) and none == []
 
 
+def test_bands_find_nearly_all_pairs_at_the_similarity():
+    r = random.Random(11)
+    found = total = 0
+    while total < 300:
+        words = [f"v{r.randrange(400)}" for _ in range(80)]
+        other = list(words)
+        other[r.randrange(80)] = "changed"
+        other = other[: r.randint(68, 80)]
+        a, b = (set(tr.shingle_hashes(" ".join(w)).tolist()) for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            total += 1
+            x, y = bands(" ".join(words), " ".join(other))
+            found += any(p == q for p, q in zip(x, y))
+    assert found / total >= 0.98
+
+
 def test_near_copy_table(spark):
     words = [f"w{i}" for i in range(40)]
-    rows = [(" ".join(words) + ".",), (" ".join(words[:35]),), ("other words " * 9,), ("x",)]
-    assert [r.text for r in tr.near_copy_cuts(spark.createDataFrame(rows, "text string")).collect()] == [" ".join(words[:35])]
+    more = [f"u{i}" for i in range(40)]
+    rows = [(" ".join(words) + ".",), (" ".join(words[:35]),), ("other words " * 9,), ("x",), (" ".join(more),), (" ".join(["so", *more[1:]]) + ".",)]
+    assert {(r.text, r.told) for r in tr.near_copy_verdicts(spark.createDataFrame(rows, "text string")).collect()} == {(" ".join(words[:35]), tr.GOES_ON), (" ".join(more), tr.ENDS_TOO)}
+
+
+def test_a_verified_copy_decides_first(spark):
+    words = "the left arm slowly carries one heavy red box over a long table towards the far wall of the hall and then puts it down with great care beside two other boxes near the old door".split()
+    whole, cut = " ".join(words) + ".", " ".join(words[:-4])
+    also = " ".join(["our", *words[1:]])  # no full stop, but a copy ends there
+    rows = [(1, "a", "1", whole, None), (2, "a", "1", cut, None), (3, "a", "1", also, None)]
+    out = {x.text_id: x.reason for x in tr.find_cut_texts(spark.createDataFrame(rows, T), ["short_description"]).collect()}
+    assert out == {1: None, 2: "copy", 3: None}
 
 
 @pytest.mark.parametrize("hot", [256, 2])
@@ -69,23 +99,26 @@ def test_every_bucket_mate_is_a_copy(spark, monkeypatch, hot):
     cut = " ".join(words[:50])
     copy = " ".join(words[:55]) + "."
     longer = [f"x{i}{'y' * 60} {cut}." for i in range(20)]  # end where the text ends, longer in every bucket
-    bands = {x: tr.band_keys([x])[0] for x in (cut, copy, *longer)}
-    assert all(max((x for x in bands if bands[x][k] == bands[cut][k]), key=len) != copy for k in range(tr.BANDS))
-    rows = [(x,) for x in bands]
-    assert [r.text for r in tr.near_copy_cuts(spark.createDataFrame(rows, "text string")).collect()] == [cut]
+    keys = dict(zip([cut, copy, *longer], bands(cut, copy, *longer)))
+    assert all(max((x for x in keys if keys[x][k] == keys[cut][k]), key=len) != copy for k in range(tr.BANDS))
+    rows = [(x,) for x in keys]
+    assert [(r.text, r.told) for r in tr.near_copy_verdicts(spark.createDataFrame(rows, "text string")).collect()] == [(cut, tr.GOES_ON)]
 
 
 def test_closing_phrases_that_occur_twice_are_aligned():
     phrase, words = "and sets it on", [f"w{i}" for i in range(40)]
     whole = " ".join([*words[:20], phrase, *words[20:], phrase, "the tray"]) + "."
-    assert tr.ends_early(" ".join([*words[:20], phrase, *words[20:], phrase]), whole)
+    assert tr.told_by(" ".join([*words[:20], phrase, *words[20:], phrase]), whole) == tr.GOES_ON
     ended = whole.removesuffix(" the tray.") + "."
-    assert not tr.ends_early(ended[:-1], ended)
+    assert tr.told_by(ended[:-1], ended) == tr.ENDS_TOO
 
 
-def test_limits_need_a_pile():
-    h = {n: 2 for n in range(20, 60)}
-    assert tr.find_limits(h) == [] and tr.find_limits(h | {60: 40}) == [60]
+def test_limits_need_a_pile(spark):
+    rows = [("s", "f", "1", "x" * n) for n in range(20, 60) for _ in range(2)]
+    far = [("s", "f", "2", "y" * 70_000)] * 9 + [("s", "f", None, "é" * 40)] * 9
+    find = lambda r: {tuple(x) for x in tr.find_limits(spark.createDataFrame(r, "source string, field string, version string, text string")).collect()}
+    assert find(rows) == set()
+    assert find(rows + [("s", "f", "1", "x" * 60)] * 40 + far) == {("s", "f", "1", "chars", 60), ("s", "f", "1", "bytes", 60), ("s", "f", "2", "chars", 70_000), ("s", "f", "2", "bytes", 70_000), ("s", "f", None, "chars", 40), ("s", "f", None, "bytes", 80)}
 
 
 def test_empty_captions(spark):

@@ -23,8 +23,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_source_report(spark: SparkSession, d: str) -> DataFrame:
-    """Share of cut texts per source and field."""
-    g = _cuts(spark, d).groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"))
+    """Share of cut texts per source and field, and how many of them a near copy, a limit, a broken end or the closing words gave away."""
+    why = [F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("copy", "limit", "broken", "open")]
+    g = _cuts(spark, d).groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), *why)
     return g.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 4))
 
 

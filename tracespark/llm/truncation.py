@@ -4,7 +4,8 @@ Three kinds of evidence, each from all texts:
 
 * near copies: min-hash bands over five-word shingles name candidates; each text is verified (Jaccard
   similarity at least 0.8) against every text of its buckets that can be as similar and holds its closing
-  words, and aligned word by word. The copy whose alignment ends early was cut.
+  words, and aligned word by word. The copy whose alignment ends early was cut; one that ends where a finished
+  copy ends was not. Only texts without such a copy are judged by the rest.
 * a pile of unfinished texts at one length of a (source, field, version), in characters or bytes: a limit.
 * terminality: a logistic model of closing words and their context, trained on the corpus itself
   (sentence ends against all places inside sentences), gives the chance that an unfinished text is over.
@@ -15,10 +16,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracespark.runtime import spread, stored
@@ -27,7 +29,7 @@ SHINGLE, BANDS, ROWS, SIMILAR = 5, 20, 4, 0.8
 TRAINING_TEXTS = 12_000  # texts the closing-word model is fitted on, chosen by hash
 DIM = 1 << 18
 VOCAB = 1 << 20
-LIMIT_LENGTHS = 1 << 16
+LINKS = 32  # most frequent words that hardly ever end a sentence count as linking clauses
 HOT = 256  # texts in a bucket from which on its pairs are made by closing words
 
 _FINISHED = re.compile(r"[.!?。！？][\"'”’)\]»]*$|\w[\"”’)\]»]+$")
@@ -65,42 +67,40 @@ def sentence_of(words: list[str]) -> list[str]:
     return words[k:]
 
 
-# Words that link clauses, as fixed values: what kind of clause is open decides what may close it.
-LINKS = ("then", "while", "and", "until", "with", "in", "at", "on", "onto", "into", "of", "to", "towards", "stops", "returns", "sets", "rests", "between")
-
-
-def features(sentence: list[str], known: bool) -> list[int]:
-    """Hashed features of a sentence that would end here."""
+def features(sentence: list[str], known: bool, links: frozenset[int]) -> list[int]:
+    """Hashed features of a sentence that would end here. links: slots of the corpus's most frequent words among those that hardly ever end a sentence; they tell what kind of clause is open."""
     n = len(sentence)
     w1 = sentence[-1] if n else ""
     w2, w3 = (sentence[-2] if n > 1 else "^"), (sentence[-3] if n > 2 else "^")
     low = [w.strip(",.;:!?\"'()").lower() for w in sentence]
-    links = [w for w in low if w in LINKS]
-    last = links[-1] if links else "-"
-    at = max((i for i, w in enumerate(low) if w in LINKS), default=-1)
+    at = [i for i, w in enumerate(low) if w and word_slot(w) in links]
+    last, before = (low[at[-1]] if at else "-"), (low[at[-2]] if len(at) > 1 else "-")
+    at = at[-1] if at else -1
     head = sentence[0] if n else ""
-    frame = "then" in low, "while" in low, low.count("and"), "until" in low
+    frame = ",".join(sorted({w for w in low if word_slot(w) in links}))
     f = [
         "b", f"1 {w1}", f"2 {w2} {w1}", f"3 {w3} {w2} {w1}", f"h {head} {w1}", f"l {last} {w1}", f"f {frame} {w1}", f"fl {frame} {last}", f"d {last} {n - 1 - at}",
         f"n {min(n, 12)}", f"hl {head} {last}", f"fd {frame} {last} {n - 1 - at}", f"k {known}", f"fh {frame} {head}", f"2l {last} {w2} {w1}", f"hd {head} {frame} {last} {n - 1 - at}",
+        f"kl {known} {last}", f"pl {before} {last} {w1}", f"pd {before} {last} {n - 1 - at} {known}",
     ]
     return [zlib.crc32(x.encode()) & (DIM - 1) for x in f]
 
 
-N_FEATURES = 16
+N_FEATURES = 19
 
 
+@lru_cache(maxsize=1 << 18)
 def word_slot(w: str) -> int:
     return zlib.crc32(w.strip(",.;:!?\"'()“”").lower().encode()) & (VOCAB - 1)
 
 
-def train(texts: list[str], known: np.ndarray, epochs: int = 4, seed: int = 7) -> np.ndarray:
+def train(texts: list[str], known: np.ndarray, links: frozenset[int] = frozenset(), epochs: int = 4, seed: int = 7) -> np.ndarray:
     """Weights of the logistic model. Every sentence end of the texts is a positive, every other place in a sentence and some places in its words are negatives."""
     rng = np.random.default_rng(seed)
     seen: dict[tuple[int, ...], list[float]] = {}
 
     def add(sentence: list[str], y: int, weight: float = 1.0) -> None:
-        k = tuple(features(sentence, bool(known[word_slot(sentence[-1])])))
+        k = tuple(features(sentence, bool(known[word_slot(sentence[-1])]), links))
         c = seen.setdefault(k, [0.0, 0.0])
         c[y] += weight
 
@@ -118,7 +118,7 @@ def train(texts: list[str], known: np.ndarray, epochs: int = 4, seed: int = 7) -
             else:
                 add(sentence, 0)
             core = w.rstrip(".,!?\"')")
-            if len(core) > 2 and rng.random() < 0.3:
+            if len(core) > 2 and rng.random() < 0.6:
                 add([*sentence[:-1], core[: int(rng.integers(1, len(core)))]], 0)
     if not seen:
         return np.zeros(DIM, np.float32)
@@ -141,12 +141,12 @@ def train(texts: list[str], known: np.ndarray, epochs: int = 4, seed: int = 7) -
     return w.astype(np.float32)
 
 
-def chance_over(text: str, w: np.ndarray, known: np.ndarray) -> float:
+def chance_over(text: str, w: np.ndarray, known: np.ndarray, links: frozenset[int] = frozenset()) -> float:
     """Chance that an unfinished text is nevertheless over."""
     s = sentence_of(words_of(text))
     if not s:
         return 1.0
-    return float(1 / (1 + np.exp(-np.clip(w[features(s, bool(known[word_slot(s[-1])]))].sum(), -40, 40))))
+    return float(1 / (1 + np.exp(-np.clip(w[features(s, bool(known[word_slot(s[-1])]), links)].sum(), -40, 40))))
 
 
 # Near copies --------------------------------------------------------------------------------------
@@ -189,11 +189,11 @@ def shingle_hashes(text: str) -> np.ndarray:
     return _shingled(np.array(word_codes(text), np.uint64))
 
 
-def band_keys(texts: list[str], at_once: int = 1024) -> list[list[int]]:
-    """The bucket of each band of each text; none for texts shorter than a shingle. All shingles of a block of texts at once."""
+def band_keys(all_codes: list[list[int]], at_once: int = 1024) -> list[list[int]]:
+    """The bucket of each band of each text, given by the codes of its words; none for texts shorter than a shingle. All shingles of a block of texts at once."""
     out: list[list[int]] = []
-    for start in range(0, len(texts), at_once):
-        codes = [word_codes(t) for t in texts[start : start + at_once]]
+    for start in range(0, len(all_codes), at_once):
+        codes = all_codes[start : start + at_once]
         words = np.array([len(c) for c in codes])
         h = _shingled(np.array([x for c in codes for x in c], np.uint64))
         text_of = np.repeat(np.arange(len(codes)), words)
@@ -220,12 +220,12 @@ def without_ellipsis(text: str) -> str:
     return _ELLIPSIS.sub("", text.rstrip()).rstrip("…�").rstrip()
 
 
-def outline(text: str) -> tuple[int, int, list[int]]:
+def outline(text: str, codes: list[int]) -> tuple[int, int, list[int]]:
     """Number of distinct shingles, code of the two words before the last, codes of all pairs of neighbouring words.
 
-    ends_early() holds only for a copy that has the text's pair of words; 0 stands for texts too short to have one and is among every copy's.
+    A copy tells something only if it has the text's pair of words; 0 stands for texts too short to have one and is among every copy's.
     """
-    c = np.array(word_codes(text), np.uint64)
+    c = np.array(codes, np.uint64)
     with np.errstate(over="ignore"):
         pairs = ((c[:-1] * _MIX[0]) ^ (c[1:] * _MIX[1])).view(np.int64) if len(c) > 1 else np.zeros(0, np.int64)
     n = len(without_ellipsis(text).split())
@@ -246,36 +246,45 @@ def _aligned(t: str, c: str, found: list[re.Match]) -> re.Match:
     return max(found, key=rank)
 
 
-def ends_early(text: str, copy: str) -> bool:
-    """Whether text, verified as a near copy of copy, stops where copy goes on within the sentence or word."""
+GOES_ON, ENDS_TOO = 2, 1
+
+
+def told_by(text: str, copy: str) -> int:
+    """What a near copy tells of an unfinished text: GOES_ON within the sentence or word, ENDS_TOO at the same place, finished; 0 when the two are no near copies or nothing follows from them."""
     a, b = set(shingle_hashes(text).tolist()), set(shingle_hashes(copy).tolist())
-    if not a or not b or len(a & b) < SIMILAR * len(a | b):
-        return False
+    if not a or not b or len(a & b) < SIMILAR * len(a | b) or finished(text):
+        return 0
     t, c = without_ellipsis(text), copy.rstrip()
     tw = t.split()
     # Align the text's closing words in the copy; the last may be half a word.
     tail = re.escape(" ".join(tw[-4:-1])).replace(r"\ ", r"\s+") + r"\s+" + re.escape(tw[-1])
     found = list(re.finditer(tail, c))
     if not found:
-        return False
+        return 0
     rest = c[_aligned(t, c, found).end() :]
+    if rest and re.match(r"[.!?。！？\"'”’)\]»\s]*$", rest):
+        return ENDS_TOO if finished(copy) else 0
     # What follows in the copy must belong to the sentence: neither a new one nor a remark in brackets.
-    return bool(rest) and not re.match(r"[.!?。！？\"'”’)\]»\s]*$|[.!?。！？]|\s*[(\[]", rest) and not finished(text)
+    return 0 if not rest or re.match(r"[.!?。！？]|\s*[(\[]", rest) else GOES_ON
 
 
-def near_copy_cuts(texts: DataFrame) -> DataFrame:
-    """``text`` of every text that ends early beside a verified near copy.
+def near_copy_verdicts(texts: DataFrame) -> DataFrame:
+    """``text, told`` of every unfinished text that has a verified near copy which tells something: GOES_ON beside one that goes on, else ENDS_TOO.
 
     texts: one column ``text``, distinct. Each unfinished text meets every text of its buckets whose number of
-    shingles allows the similarity and that holds its closing pair of words; both are needed for a verified
-    copy, so none is lost. In buckets of more than ``HOT`` texts the closing pair is part of the join key.
+    shingles allows the similarity and that holds its closing pair of words; both are needed for a copy
+    to tell anything, so none is lost. In buckets of more than ``HOT`` texts the closing pair is part of the join key.
     """
-    bands = F.pandas_udf(lambda t: pd.Series(band_keys(t.tolist())), "array<bigint>")
-    shape = F.pandas_udf(lambda t: pd.DataFrame([outline(x) for x in t], columns=["size", "tail", "pairs"]), "size int, tail bigint, pairs array<bigint>")
-    over = F.pandas_udf(lambda t: pd.Series([finished(x) for x in t]), "boolean")
+
+    def shaped_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes = [word_codes(t) for t in pdf["text"]]
+            shape = [outline(t, c) for t, c in zip(pdf["text"], codes)]
+            yield pd.DataFrame({"tid": pdf["tid"], "over": [finished(t) for t in pdf["text"]], "keys": band_keys(codes), "size": [x[0] for x in shape], "tail": [x[1] for x in shape], "pairs": [x[2] for x in shape]})
+
     named = texts.select("text", F.xxhash64("text").alias("tid"))
-    # Only numbers travel with the bands; the texts of candidate pairs are fetched afterwards.
-    shaped = stored(spread(named).select("tid", over("text").alias("over"), bands("text").alias("keys"), shape("text").alias("s")).select("tid", "over", "keys", "s.*"), "shapes")
+    # Only numbers travel with the bands; the texts of candidate pairs are fetched afterwards, and verified as they are.
+    shaped = stored(spread(named).mapInPandas(shaped_texts, "tid bigint, over boolean, keys array<bigint>, size int, tail bigint, pairs array<bigint>"), "shapes")
     banded = shaped.select("tid", "size", "over", F.posexplode("keys").alias("band", "key"))
     wanted = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("over")).alias("u")).where("k > 1 and u > 0").drop("u")
     members = stored(banded.join(wanted, ["band", "key"]), "members")
@@ -290,22 +299,30 @@ def near_copy_cuts(texts: DataFrame) -> DataFrame:
     many = hot.join(hot_mate, ["band", "key", "tail"]).where(fits).select("tid", "copy")
     pairs = few.unionByName(many).distinct()
     full = pairs.join(named, "tid").join(named.select(F.col("tid").alias("copy"), F.col("text").alias("copy_text")), "copy")
-    early = F.pandas_udf(lambda t, c: pd.Series([ends_early(x, y) for x, y in zip(t, c)]), "boolean")
-    return full.where(early("text", "copy_text")).select("text").distinct()
+    tells = F.pandas_udf(lambda t, c: pd.Series([told_by(x, y) for x, y in zip(t, c)], dtype="int32"), "int")
+    return full.select("text", tells("text", "copy_text").alias("told")).where("told > 0").groupBy("text").agg(F.max("told").alias("told"))
 
 
 # Limits -------------------------------------------------------------------------------------------
 
 
-def find_limits(lengths: dict[int, int]) -> list[int]:
-    """Lengths at which unfinished texts pile up: at least 5, and 6 times what the lengths just below hold on average."""
-    out = []
-    for n, k in lengths.items():
-        below = [lengths.get(m, 0) for m in range(max(1, n - 12), n - 2)]
-        longer = sum(v for m, v in lengths.items() if m > n + 3)
-        if k >= 5 and k >= 6 * (sum(below) / max(len(below), 1) + 0.1) and longer <= 0.5 * k:
-            out.append(n)
-    return out
+def find_limits(unfinished: DataFrame) -> DataFrame:
+    """``source, field, version, m, n``: lengths n, in m (chars or bytes), at which unfinished texts pile up.
+
+    unfinished: source, field, version, text. A pile holds at least 5 texts, 6 times what the lengths 3 to 12 below
+    hold on average, and at least twice what all lengths of more than 3 above hold together. Lengths are counted
+    in Spark, whatever their number; each is a row.
+    """
+    chars, size = F.length(F.rtrim("text")), F.octet_length(F.rtrim(F.regexp_replace("text", "�+$", "")))
+    by = ["source", "field", "version", "m"]
+    hist = unfinished.select("source", "field", "version", F.explode(F.array(F.struct(F.lit("chars").alias("m"), chars.alias("n")), F.struct(F.lit("bytes").alias("m"), size.alias("n")))).alias("x"))
+    hist = hist.select("source", "field", "version", "x.m", "x.n").groupBy(*by, "n").agg(F.count(F.lit(1)).alias("k"))
+    # One row per length of a source's field and version.
+    w = Window.partitionBy(*by).orderBy("n")
+    below, longer = F.sum("k").over(w.rangeBetween(-12, -3)), F.sum("k").over(w.rangeBetween(4, Window.unboundedFollowing))
+    cells = F.greatest(F.lit(1), F.least(F.lit(10), F.col("n") - 3))
+    pile = (F.col("k") >= 5) & (F.col("k") >= 6 * (F.coalesce("below", F.lit(0)) / cells + 0.1)) & (F.coalesce("longer", F.lit(0)) <= 0.5 * F.col("k"))
+    return hist.withColumn("below", below).withColumn("longer", longer).where(pile).select(*by, "n")
 
 
 def text_fields(table: DataFrame, fields: list[str], ident: str, source: str, version: str) -> DataFrame:
@@ -317,12 +334,13 @@ def text_fields(table: DataFrame, fields: list[str], ident: str, source: str, ve
 def find_cut_texts(table: DataFrame, fields: list[str], ident: str = "text_id", source: str = "source", version: str = "export_version", also: tuple[str, ...] = (), decide: float = 0.5, training_texts: int = TRAINING_TEXTS) -> DataFrame:
     """``ident, field, source, cut, reason`` of every non-blank text of ``fields``.
 
-    reason: ``broken`` (ends in mid-character, in an ellipsis or after a mark that cannot end a text),
-    ``limit`` (unfinished at a detected limit), ``copy`` (a near copy goes on), ``open`` (unfinished, its
-    closing words are inside a sentence or word), or null. ``also``: further columns whose texts train
+    A verified near copy decides first: reason ``copy`` when one goes on. Of the others: ``broken`` (ends in
+    mid-character, in an ellipsis or after a mark that cannot end a text); none when a near copy ends at the same
+    place, finished; ``limit`` (unfinished at a detected limit); ``open`` (unfinished, and its closing words are
+    inside a sentence or word); or null. ``also``: further columns whose texts train
     the model. A finished text, a null and an empty or blank text are never cut. Nulls in source or
     version form sources of their own. Repeated rows count once. An empty table gives an empty result.
-    training_texts bounds the sample the closing-word model is fitted on; limits, vocabulary and copies
+    training_texts bounds the sample the closing-word model is fitted on; limits, vocabulary, linking words and copies
     use every text.
     """
     spark = table.sparkSession
@@ -335,53 +353,54 @@ def find_cut_texts(table: DataFrame, fields: list[str], ident: str = "text_id",
     # Vocabulary: a fixed table of word counts, whatever the size of the corpus.
     @F.pandas_udf("array<int>")
     def slots(t: pd.Series) -> pd.Series:
-        return pd.Series([[word_slot(w) for w in words_of(x)[:-1]] for x in t])
+        return pd.Series([[word_slot(w) * 2 + ends_sentence(w) for w in words_of(x)[:-1]] for x in t])
 
-    common = spread(corpus).select(F.explode(slots("text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    common = stored(spread(corpus).select(F.explode(slots("text")).alias("x")).groupBy(F.shiftright("x", 1).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").bitwiseAND(1)).alias("ends")).where("n >= 3"), "vocabulary")
+    links = frozenset(r.s for r in common.where("ends <= 0.001 * n").orderBy(F.desc("n"), "s").limit(LINKS).collect())
     packed = common.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).collect()  # VOCAB / 64 rows
     known = np.zeros(VOCAB // 64, np.int64)
     known[[r.word for r in packed]] = [r.bits for r in packed]
     known = np.unpackbits(known.view(np.uint8), bitorder="little").astype(bool)
     sample = [r.text for r in corpus.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(training_texts).collect()]
-    weights = train(sample, known)
+    weights = train(sample, known, links)
 
     done = F.pandas_udf(lambda t: pd.Series([finished(x) for x in t]), "boolean")
     open_ = stored(spread(texts).where(~done("text")), "unfinished")
 
-    chars, size = F.length(F.rtrim("text")), F.octet_length(F.rtrim(F.regexp_replace("text", "�+$", "")))
-    hist = open_.select("source", "field", "version", F.explode(F.array(F.struct(F.lit("chars").alias("m"), chars.alias("n")), F.struct(F.lit("bytes").alias("m"), size.alias("n")))).alias("x"))
-    rows = hist.where(F.col("x.n") < LIMIT_LENGTHS).groupBy("source", "field", "version", F.col("x.m").alias("m"), F.col("x.n").alias("n")).count().collect()  # sources x lengths
-    by: dict = {}
-    for r in rows:
-        by.setdefault((r.source, r.field, r.version, r.m), {})[r.n] = r["count"]
-    limits: dict = {k: set(find_limits(v)) for k, v in by.items()}
+    # A pile outweighs all longer lengths twice, so of a source's field and version few lengths can be limits.
+    limits: dict = {}
+    for r in find_limits(open_).toLocalIterator():
+        limits.setdefault((r.source, r.field, r.version, r.m), set()).add(r.n)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, s, v, f, t in pdf[["id", "source", "version", "field", "text"]].itertuples(index=False, name=None):
+            for i, s, v, f, t, told in pdf[["id", "source", "version", "field", "text", "told"]].itertuples(index=False, name=None):
                 r = t.rstrip()
                 s, v = (None if x is None or x != x else x for x in (s, v))
                 n, b = len(r), len(re.sub("�+$", "", r).encode())
                 lim_c, lim_b = limits.get((s, f, v, "chars"), ()), limits.get((s, f, v, "bytes"), ())
-                over = chance_over(r, weights, known)
-                if _BROKEN.search(r):
+                if told == GOES_ON:
+                    reason = "copy"
+                elif _BROKEN.search(r):
                     reason = "broken"
+                elif told == ENDS_TOO:
+                    reason = None
                 elif n in lim_c or b in lim_b:
                     reason = "limit"
                 elif left_open(r):
                     reason = "open"
-                elif over < (0.9 if n + 1 in lim_c or b + 1 in lim_b else decide):
+                elif chance_over(r, weights, known, links) < (0.9 if n + 1 in lim_c or b + 1 in lim_b else decide):
                     reason = "open"
                 else:
                     reason = None
-                out.append((i, f, s, t, reason))
-            yield pd.DataFrame(out, columns=["id", "field", "source", "text", "own"])
+                out.append((i, f, s, reason))
+            yield pd.DataFrame(out, columns=["id", "field", "source", "reason"])
 
     kind = table.schema[ident].dataType.simpleString()
-    judged = open_.mapInPandas(judge, f"id {kind}, field string, source string, text string, own string")
-    copies = near_copy_cuts(texts.select("text").distinct()).withColumnRenamed("text", "cut_text")
-    found = judged.join(copies, judged.text == copies.cut_text, "left").select("id", "field", "source", F.coalesce("own", F.when(F.col("cut_text").isNotNull(), F.lit("copy"))).alias("reason"))
+    copies = near_copy_verdicts(texts.select("text").distinct()).withColumnRenamed("text", "matched")
+    asked = open_.join(copies, open_.text == copies.matched, "left").select("id", "source", "version", "field", "text", F.coalesce("told", F.lit(0)).alias("told"))
+    found = asked.mapInPandas(judge, f"id {kind}, field string, source string, reason string")
     a, b = texts.alias("a"), found.alias("b")
     on = (F.col("a.id") == F.col("b.id")) & (F.col("a.field") == F.col("b.field")) & F.col("a.source").eqNullSafe(F.col("b.source"))
     cut = a.join(b, on, "left").groupBy("a.id", "a.field", "a.source").agg(F.min("b.reason").alias("reason"))
