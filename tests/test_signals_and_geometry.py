@@ -69,13 +69,32 @@ def test_token_counts_of_merging():
     assert len(cl.merge_tokens(np.eye(1))) == 1
 
 
-def test_retargeting_starts_at_the_point_and_keeps_the_path():
-    p = np.cumsum(np.random.default_rng(1).normal(0, 3, (5, 30, 3)), axis=1)
-    out = rt.retarget(p, 100, 100)
+def test_equal_arcs_start_at_the_point_and_keep_the_path():
+    p = np.cumsum(np.random.default_rng(1).normal(0, 0.03, (5, 30, 3)), axis=1)
+    out = rt.equal_arcs(p, 0.05, 128)
     assert np.allclose(out[:, 0], p[:, 0]) and out.shape[1] <= 128
-    line = np.stack([np.linspace(0, 50, 11), np.zeros(11), np.ones(11)], -1)[None]
-    assert np.allclose(np.diff(rt.retarget(line, 100, 100)[0, :, 0]), 5)
-    assert rt.retarget(line[:, :1], 100, 100).shape == (1, 1, 3)
+    line = np.stack([np.linspace(0, 0.5, 11), np.zeros(11), np.ones(11)], -1)[None]
+    assert np.allclose(np.diff(rt.equal_arcs(line, 0.05, 128)[0, :, 0]), 0.05)
+    assert rt.equal_arcs(line[:, :1], 0.05, 128).shape == (1, 1, 3) and rt.equal_arcs(line, 0.05, 4).shape == (1, 4, 3)
+    still = np.zeros((2, 4, 3))
+    assert rt.equal_arcs(still, 0.05, 128).shape == (2, 1, 3)
+
+
+def test_samples_of_groups_by_life(spark):
+    rows = [("e", k, t, 10.0 * t + k, 5.0, 2.0) for k, span in ((1, range(0, 5)), (2, range(0, 5)), (3, range(2, 4))) for t in span]
+    rows += [("e", 9, 0, 1.0, 1.0, 1.0), ("e", 4, None, 1.0, 1.0, 1.0), ("e", 1, 2, 21.0, 5.0, 2.0), ("f", 1, 0, 1.0, 1.0, 1.0)]
+    t = spark.createDataFrame(rows, "episode string, kp int, t int, x double, y double, z double").withColumn("block", F.lit(1))
+    eye = [float(x) for x in np.eye(4).ravel()]
+    cams = spark.createDataFrame([("e", i, 1.0, 1.0, 0.0, 0.0, eye) for i in range(5)], "episode string, t int, fx double, fy double, cx double, cy double, pose array<double>")
+    moving = spark.createDataFrame([("e", 1, True), ("e", 3, True), ("e", 2, False), ("e", 9, True)], "episode string, kp int, is_moving boolean")
+    got = {(r.kp, r.t): r for r in rt.assembled_samples(t, cams, 100, 100, moving, anchors=2).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 2)}  # the last frame of a life has no step ahead
+    r = got[1, 1]
+    assert [p.x for p in r.raw_traj] == pytest.approx([(10 * s + 1) / 2 for s in range(1, 5)]) and [p.x for p in r.raw_traj_history] == pytest.approx([11 / 2, 1 / 2])
+    assert np.allclose(np.diff([p.x for p in r.traj]), 5) and len(r.traj_history) == 2
+    fixed = rt.assembled_samples(t, cams, 100, 100, moving).select(*[c.alias(n) for c, n in zip(rt.padded("raw_traj", 6), ("p", "ok"))]).collect()
+    assert all(len(x.p) == len(x.ok) == 6 and [p.x > float("-inf") for p in x.p] == x.ok for x in fixed)
+    assert rt.assembled_samples(t.limit(0), cams, 100, 100, moving).count() == 0
 
 
 def pose(yaw, t):

@@ -1,12 +1,21 @@
-"""Arc-length retargeting of groups of tracks that share a clock, and assembly of training samples."""
+"""Training samples: tracks seen through the camera of an anchor frame, read at equal arc length, with raw futures and histories.
+
+Tracks that live over the same frames form a group and share one clock. For an anchor frame the whole life of
+its group is projected through that frame's camera; the steps from the anchor on are its future, those back from it
+its history. The clock of each is the robust length of its steps (the mean of the longest ones over all tracks of
+the group, moving or not); all tracks are read where that clock passes multiples of a fixed spacing.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ANCHORS = 64  # anchor frames of a group that one task works on
+POINTS = "array<struct<x:double,y:double,z:double>>"
+
 
 def robust_step_length(tracks: DataFrame, width: float, height: float, share: float = 0.02) -> DataFrame:
     """episode, t, r: mean of the longest ``share`` (at least one) of the steps from t to t + 1, over all tracks of the episode.
@@ -23,55 +32,97 @@ def robust_step_length(tracks: DataFrame, width: float, height: float, share: fl
     return ranked.where("rank <= k").groupBy("episode", "t").agg(F.avg("len").alias("r"))
 
 
-def retarget(p: np.ndarray, width: float, height: float, step: float = 0.05, most: int = 128, share: float = 0.02) -> np.ndarray:
-    """(tracks, targets, 3): all tracks read at equal arc length of their common clock; slot 0 is the first point."""
-    n, h, _ = p.shape
-    if h < 2 or n == 0:
-        return p[:, :1].copy()
-    q = p / np.array([width, height, 1.0])
-    length = np.linalg.norm(np.diff(q, axis=1), axis=2)
-    k = max(1, int(np.ceil(share * n)))
-    r = np.sort(length, axis=0)[-k:].mean(0)
-    total = r.sum()
-    m = min(int(total / step) + 1, most)
-    target = np.minimum(step * np.arange(m), total)
-    s = np.r_[0.0, np.cumsum(r)]
-    i = np.clip(np.searchsorted(s, target, "right") - 1, 0, h - 2)
-    a = ((target - s[i]) / np.maximum(r[i], 1e-12))[None, :, None]
-    return (q[:, i] + a * (q[:, i + 1] - q[:, i])) * np.array([width, height, 1.0])
-
-
-def retargeted_tracks(tracks: DataFrame, width: float, height: float, step: float = 0.05, most: int = 128) -> DataFrame:
-    """episode, kp, slot, x, y, z: each group of tracks from its first common frame on, retargeted together.
-
-    A group's tracks share every frame from 0 to the shortest track's end. The clock couples the tracks
-    of a group, so a group is one Arrow batch; groups are independent.
+def equal_arcs(points: np.ndarray, spacing: float, most: int, share: float = 0.02) -> np.ndarray:
+    """(tracks, slots, 3): points (tracks, steps, 3), in units of the frame, read at every ``spacing`` of their common clock; slot 0 is the first point.
+
+    One step, or none that moves, leaves slot 0 only.
     """
+    steps = np.sqrt((np.diff(points, axis=1) ** 2).sum(2))
+    longest = max(1, int(np.ceil(share * len(points))))
+    pace = -np.sort(-steps, axis=0)[:longest].mean(0)
+    clock = np.concatenate([[0.0], np.cumsum(pace)])
+    at = spacing * np.arange(min(int(clock[-1] / spacing) + 1, most))
+    # Between the readings of the clock, positions run on straight lines.
+    return np.stack([[np.interp(at, clock, track[:, d]) for d in range(3)] for track in points]).transpose(0, 2, 1)
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["kp", "t"])
-        kps, n = np.unique(g["kp"], return_counts=True)
-        h = int(n.min())
-        first = np.cumsum(n) - n
-        xyz = g[["x", "y", "z"]].to_numpy(np.float64)
-        p = np.stack([xyz[a : a + h] for a in first])
-        out = retarget(p, width, height, step, most)
-        m = out.shape[1]
-        return pd.DataFrame({"episode": key[0], "kp": np.repeat(kps, m), "slot": np.tile(np.arange(m), len(kps)), "x": out[..., 0].ravel(), "y": out[..., 1].ravel(), "z": out[..., 2].ravel()})
 
-    e, k = (tracks.schema[c].dataType.simpleString() for c in ("episode", "kp"))
-    return tracks.select("episode", "kp", "t", "x", "y", "z").groupBy("episode").applyInPandas(run, f"episode {e}, kp {k}, slot bigint, x double, y double, z double")
+def lifespans(tracks: DataFrame) -> DataFrame:
+    """episode, kp, born, died: first and last frame of each track. Tracks of an episode with the same two are a group."""
+    return tracks.groupBy("episode", "kp").agg(F.min("t").alias("born"), F.max("t").alias("died"))
 
 
-def sample_assembly(tracks: DataFrame, moving: DataFrame, width: float, height: float, future: int = 128, history: int = 32, at_least: int = 2) -> DataFrame:
-    """episode, t, kp, n_future, n_history, future_x, history_x: raw future and reversed history of every moving, on-screen anchor.
+def assembled_samples(
+    tracks: DataFrame, cameras: DataFrame, width: float, height: float, moving: DataFrame | None = None,
+    future: int = 128, history: int = 32, spacing: float = 0.05, at_least: int = 2, anchors: int = ANCHORS,
+) -> DataFrame:
+    """episode, t, kp, x, y, traj, traj_history, raw_traj, raw_traj_history of every anchor.
 
-    moving: episode, kp, is_moving. Frames whose best anchor has fewer than ``at_least`` future steps are
-    left out. The window frames are bounded by ``future`` and ``history``.
+    tracks: episode, kp, t, x, y, z, a row for each frame of a track's life. cameras: episode, t, fx, fy, cx, cy,
+    pose (16 doubles, world to camera, by rows). moving: episode, kp, is_moving; None takes all tracks. An anchor is a moving
+    track at a frame with a camera, if it lies on screen there and some anchor of that frame and group
+    has ``at_least`` steps ahead of it, itself included. traj and traj_history are read at
+    equal arc length, at most ``future`` and ``history`` slots; the raw ones are the steps themselves.
+    x, y, z are pixels of the anchor's camera and depth; slot 0 is the anchor.
+
+    Each group meets its anchors in blocks of ``anchors`` frames, so a task holds one group's life and one
+    block, and long lives spread over tasks. Null coordinates are carried as NaN; rows with a null t or kp
+    are left out, a frame delivered twice counts once, the largest position. A life with missing frames is read as if its rows followed each other.
+    Empty tables give empty results.
     """
-    w = Window.partitionBy("episode", "kp").orderBy("t")
-    j = tracks.join(moving.where("is_moving").select("episode", "kp"), ["episode", "kp"], "left_semi")
-    s = j.select("episode", "kp", "t", "x", "y", F.collect_list("x").over(w.rowsBetween(0, future - 1)).alias("future_x"), F.reverse(F.collect_list("x").over(w.rowsBetween(-(history - 1), 0))).alias("history_x"))
-    on = s.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    best = F.max(F.size("future_x")).over(Window.partitionBy("episode", "t"))
-    return on.withColumn("best", best).where(F.col("best") >= at_least).select("episode", "t", "kp", F.size("future_x").alias("n_future"), F.size("history_x").alias("n_history"), "future_x", "history_x")
+    t = tracks.where("t is not null and kp is not null").groupBy("episode", "kp", "t").agg(F.max(F.struct("x", "y", "z")).alias("p"))
+    if moving is None:
+        life = lifespans(t).withColumn("moves", F.lit(True))
+    else:
+        flags = moving.groupBy("episode", "kp").agg(F.max("is_moving").alias("moves"))
+        life = lifespans(t).join(flags, ["episode", "kp"], "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
+    track = t.groupBy("episode", "kp").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("steps"))  # bounded by the life of a track
+    track = track.join(life, ["episode", "kp"]).select("episode", "born", "died", "kp", "moves", F.transform("steps", lambda s: s.t).alias("at"), F.transform("steps", lambda s: F.array(s.p.x, s.p.y, s.p.z)).alias("xyz"))
+    blocks = track.withColumn("block", F.explode(F.sequence(F.floor(F.col("born") / anchors), F.floor(F.col("died") / anchors))))
+    cam = cameras.groupBy("episode", F.floor(F.col("t") / anchors).alias("block")).agg(F.collect_list(F.struct("t", "fx", "fy", "cx", "cy", "pose")).alias("cams"))  # one per frame of the block
+    keys = ["episode", "born", "died", "block"]
+    cam = blocks.select(keys).distinct().join(cam, ["episode", "block"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "cams")
+
+    def run(key: tuple, tracks_: pd.DataFrame, cams_: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(tracks_) and len(cams_):
+            by_frame = {c["t"]: c for cs in cams_["cams"] for c in cs}
+            out += _group_samples(tracks_.sort_values("kp"), by_frame, width, height, future, history, spacing, at_least)
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["episode", "t", "kp", "x", "y", "traj", "traj_history", "raw_traj", "raw_traj_history"])
+
+    e, k = (tracks.schema[c].dataType.simpleString() for c in ("episode", "kp"))
+    schema = f"episode {e}, t bigint, kp {k}, x double, y double, traj {POINTS}, traj_history {POINTS}, raw_traj {POINTS}, raw_traj_history {POINTS}"
+    return blocks.groupBy(keys).cogroup(cam.groupBy([f"_{k}" for k in keys])).applyInPandas(run, schema)
+
+
+def _group_samples(g: pd.DataFrame, cams: dict, width: float, height: float, future: int, history: int, spacing: float, at_least: int) -> list[tuple]:
+    """The samples of one group at the anchors that have a camera."""
+    frames = np.asarray(g["at"].iloc[0])
+    world = np.array([np.stack(x) for x in g["xyz"]], dtype=np.float64)
+    moves, names = g["moves"].to_numpy(bool), g["kp"].tolist()
+    scale = np.array([width, height, 1.0])
+    out = []
+    if not moves.any():
+        return out
+    for i in [i for i, f in enumerate(frames) if f in cams]:
+        c = cams[frames[i]]
+        m = np.asarray(c["pose"], np.float64).reshape(4, 4)
+        seen = world @ m[:3, :3].T + m[:3, 3]
+        depth = seen[..., 2]
+        image = np.stack([(c["fx"] * seen[..., 0] + c["cx"] * depth) / (depth + 1e-8), (c["fy"] * seen[..., 1] + c["cy"] * depth) / (depth + 1e-8), depth], -1)
+        u, v = image[:, i, 0], image[:, i, 1]
+        wanted = np.flatnonzero(moves & (u >= 0) & (u < width) & (v >= 0) & (v < height))
+        ahead, back = image[:, i:], image[:, i::-1]
+        if not len(wanted) or min(ahead.shape[1], future) < at_least:
+            continue
+        traj = equal_arcs(ahead / scale, spacing, future)[wanted] * scale
+        past = equal_arcs(back / scale, spacing, history)[wanted] * scale
+        rows = zip(wanted, traj, past, ahead[wanted, :future], back[wanted, :history])
+        out += [(int(frames[i]), names[n], float(u[n]), float(v[n]), *([dict(zip("xyz", p)) for p in a.tolist()] for a in arrays)) for n, *arrays in rows]
+    return out
+
+
+def padded(points: str, length: int) -> tuple[Column, Column]:
+    """A sample's array at fixed length, filled up with negative infinity, and the mask of what is real."""
+    none = F.struct(*[F.lit(float("-inf")).alias(c) for c in "xyz"])
+    n = F.size(points)
+    return F.slice(F.concat(F.col(points), F.array_repeat(none, F.greatest(F.lit(length) - n, F.lit(0)))), 1, length), F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i < n)

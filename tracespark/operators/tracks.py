@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracespark.functions.geometry import project
+
 TRACK = ["episode", "kp"]
 
 
@@ -34,8 +36,33 @@ def second_difference(tracks: DataFrame, depth_weight: float = 0.1) -> DataFrame
     return tracks.withColumn("accel", F.sqrt(d2("x") ** 2 + d2("y") ** 2 + (depth_weight * d2("z")) ** 2))
 
 
-def track_acceleration(tracks: DataFrame, frames: DataFrame, margin: int = 5, depth_weight: float = 0.1) -> DataFrame:
-    """episode, t, acceleration: mean over the points with more than ``margin`` visible steps on both sides; 0 for frames without any."""
+def through_own_camera(tracks: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Tracks with x, y, z as pixels and depth in the camera of each row's own frame; rows without a camera are left out.
+
+    cameras: episode, t, fx, fy, cx, cy, pose (16 doubles, by rows), one row per frame.
+    """
+    return _seen_by(tracks.join(cameras.select("episode", "t", "fx", "fy", "cx", "cy", "pose"), ["episode", "t"]), tracks.columns)
+
+
+def through_first_camera(tracks: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Tracks with x, y, z as pixels and depth in the camera of the first frame of the track's life."""
+    born = F.min("t").over(Window.partitionBy(*TRACK))
+    c = cameras.select("episode", F.col("t").alias("_born"), "fx", "fy", "cx", "cy", "pose")
+    return _seen_by(tracks.withColumn("_born", born).join(c, ["episode", "_born"]), tracks.columns)
+
+
+def _seen_by(joined: DataFrame, columns: list[str]) -> DataFrame:
+    u, v, z = project(*[F.col(c) for c in ("fx", "fy", "cx", "cy")], [F.col("pose")[k] for k in range(16)], F.col("x"), F.col("y"), F.col("z"))
+    return joined.select(*[F.col(c) for c in columns if c not in ("x", "y", "z")], u.alias("x"), v.alias("y"), z.alias("z"))
+
+
+def track_acceleration(tracks: DataFrame, frames: DataFrame, moving: DataFrame | None = None, margin: int = 5, depth_weight: float = 0.1) -> DataFrame:
+    """episode, t, acceleration: mean over the moving points with more than ``margin`` visible steps on both sides; 0 for frames without any.
+
+    moving: episode, kp, is_moving; None takes all points.
+    """
+    if moving is not None:
+        tracks = tracks.join(moving.where("is_moving").select(*TRACK).distinct(), TRACK, "left_semi")
     run = second_difference(visible_run_lengths(tracks), depth_weight)
     kept = run.where((F.col("run_before") > margin) & (F.col("run_after") > margin) & F.col("accel").isNotNull())
     mean = kept.groupBy("episode", "t").agg(F.avg("accel").alias("a"))

@@ -188,22 +188,6 @@ def robust_segment_length(spark: SparkSession, d: str) -> DataFrame:
     return rt.robust_step_length(tracks(spark, d), WIDTH, HEIGHT).select("episode", "t", F.round("r", 6).alias("r"))
 
 
-@_q(None)
-def retargeted_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return rt.retargeted_tracks(tracks(spark, d), WIDTH, HEIGHT)
-
-
-@_q(f"""with {TRK}, p as (select * from trk where visible and t < 64), dist as (select a.kp, max(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(cast(0.1 as double) * a.z - cast(0.1 as double) * b.z, 2))) as d from p a join p b on a.kp = b.kp and a.t < b.t group by 1),
-m as (select kp from dist where d > {((HEIGHT / 20) ** 2 + (WIDTH / 20) ** 2) ** 0.5!r}),
-s as (select episode, kp, t, x, y, list(x) over (partition by episode, kp order by t rows between current row and 127 following) as f, list(x) over (partition by episode, kp order by t rows between 31 preceding and current row) as h from trk where kp in (select kp from m)),
-o as (select *, max(len(f)) over (partition by episode, t) as best from s where x >= 0 and x < {WIDTH} and y >= 0 and y < {HEIGHT})
-select episode, t, kp, cast(len(f) as int) as n_future, cast(len(h) as int) as n_history, f[1] as first_x, h[-1] as oldest_x from (select *, list_reverse(h) as hr from o) where best >= 2""".replace("h[-1] as oldest_x", "h[1] as oldest_x"))
-def sample_assembly_raw(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d)
-    s = rt.sample_assembly(t, moving_tracks(track_diameter(t), WIDTH, HEIGHT), WIDTH, HEIGHT)
-    return s.select("episode", "t", "kp", "n_future", "n_history", F.element_at("future_x", 1).alias("first_x"), F.element_at("history_x", -1).alias("oldest_x"))
-
-
 # Alignment and fits -------------------------------------------------------------------------------
 
 

@@ -43,3 +43,19 @@ def pose() -> list:
     """The pose columns of with_camera()."""
     c, s, z, o = F.cos("yaw"), F.sin("yaw"), F.lit(0.0), F.lit(1.0)
     return [c, z, s, F.col("tx"), z, o, z, z, -s, z, c, z, z, z, z, o]
+
+
+def cameras(tracks: DataFrame) -> DataFrame:
+    """A table of cameras, one per episode and frame: growing focal length, rolling about the view axis, moving sideways and back."""
+    t = F.col("t").cast("double")
+    c, s = F.cos(0.01 * t), F.sin(0.01 * t)
+    z, o = F.lit(0.0), F.lit(1.0)
+    pose = F.array(c, -s, z, 0.1 * t, s, c, z, z, z, z, o, 0.01 * t, z, z, z, o)
+    return tracks.select("episode", "t").distinct().select("episode", "t", (1 + 0.01 * t).alias("fx"), (1 + 0.01 * t).alias("fy"), F.lit(5.0).alias("cx"), F.lit(3.0).alias("cy"), pose.alias("pose"))
+
+
+CAMT = "camt as (select distinct episode, t, 1 + cast(0.01 as double) * t as f, cast(0.01 as double) * t as roll, cast(0.1 as double) * t as tx, cast(0.01 as double) * t as tz from trk)"
+_Z = "(p.z + tz)"
+SEEN = f"(f * (cos(roll) * p.x - sin(roll) * p.y + tx) + 5 * {_Z}) / ({_Z} + 1e-8) as x, (f * (sin(roll) * p.x + cos(roll) * p.y) + 3 * {_Z}) / ({_Z} + 1e-8) as y, {_Z} as z"
+OWN = f"{CAMT}, own as (select p.episode, kp, p.t, visible, cluster, {SEEN} from trk p join camt on p.episode = camt.episode and p.t = camt.t)"
+ONE = f"{CAMT}, one as (select p.episode, kp, p.t, visible, cluster, {SEEN} from (select *, min(t) over (partition by episode, kp) as born from trk) p join camt on p.episode = camt.episode and p.born = camt.t)"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracespark.functions import geometry as g
 from tracespark.operators import tracks as op
-from tracespark.plans.standins import CAM, FRM, HEIGHT, TRK, WIDTH, frames, pose, tracks, with_camera
+from tracespark.operators import retarget as rt
+from tracespark.plans.standins import CAM, CAMT, FRM, HEIGHT, ONE, OWN, SEEN, TRK, WIDTH, cameras, frames, pose, tracks, with_camera
 from tracespark.runtime import table, work_dir
 from tracespark.sources.registry import register_sources
 from tracespark.sources.trace_episodes import write_trace_episodes
@@ -29,17 +30,27 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-_RUNS = f"""{TRK}, runs as (select *, t - coalesce(max(case when not visible then t end) over (partition by episode, kp order by t rows between unbounded preceding and current row), min(t) over (partition by episode, kp) - 1) as run_before,
-  coalesce(min(case when not visible then t end) over (partition by episode, kp order by t rows between current row and unbounded following), max(t) over (partition by episode, kp) + 1) - t as run_after from trk)"""
-_ACC = f"""{_RUNS}, {FRM}, d as (select *, sqrt(power(lead(x) over w - 2 * x + lag(x) over w, 2) + power(lead(y) over w - 2 * y + lag(y) over w, 2) + power(cast(0.1 as double) * (lead(z) over w - 2 * z + lag(z) over w), 2)) as a
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d)
+    return op.through_first_camera(t, cameras(t))
+
+
+_RUN = """select *, t - coalesce(max(case when not visible then t end) over (partition by episode, kp order by t rows between unbounded preceding and current row), min(t) over (partition by episode, kp) - 1) as run_before,
+  coalesce(min(case when not visible then t end) over (partition by episode, kp order by t rows between current row and unbounded following), max(t) over (partition by episode, kp) + 1) - t as run_after from"""
+_RUNS = f"{TRK}, runs as ({_RUN} trk)"
+_DIAM = f"""{TRK}, {ONE}, near as (select * from one where visible and t < 64),
+pairs as (select a.episode, a.kp, max(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(cast(0.1 as double) * a.z - cast(0.1 as double) * b.z, 2))) as dist from near a join near b on a.kp = b.kp and a.t < b.t group by all),
+diam as (select k.episode, k.kp, coalesce(dist, 0) as diameter from (select distinct episode, kp from trk) k left join pairs on k.kp = pairs.kp),
+mov as (select kp from diam where diameter > {((HEIGHT / 20) ** 2 + (WIDTH / 20) ** 2) ** 0.5!r})"""
+_ACC = f"""{_DIAM}, {FRM}, runs as ({_RUN} one where kp in (select kp from mov)), d as (select *, sqrt(power(lead(x) over w - 2 * x + lag(x) over w, 2) + power(lead(y) over w - 2 * y + lag(y) over w, 2) + power(cast(0.1 as double) * (lead(z) over w - 2 * z + lag(z) over w), 2)) as a
   from runs window w as (partition by episode, kp order by t))"""
 
 
-@_q(f"""with {_ACC} select frm.episode, frm.t, round(coalesce(m.a, 0), 6) as acceleration from frm left join
+@_q(f"""with {_ACC} select frm.episode, frm.t, round(coalesce(m.a, 0), 4) as acceleration from frm left join
   (select episode, t, avg(a) as a from d where run_before > 5 and run_after > 5 and a is not null group by all) m on frm.episode = m.episode and frm.t = m.t""")
 def track_acceleration(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d)
-    return op.track_acceleration(t, frames(t)).select("episode", "t", r6(F.col("acceleration"), "acceleration"))
+    s = first_seen(spark, d)
+    return op.track_acceleration(s, frames(s), op.moving_tracks(op.track_diameter(s), WIDTH, HEIGHT)).select("episode", "t", F.round("acceleration", 4).alias("acceleration"))
 
 
 @_q(f"with {_RUNS} select episode, kp, t, run_before, run_after from runs")
@@ -47,27 +58,22 @@ def visible_run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return op.visible_run_lengths(tracks(spark, d)).select("episode", "kp", "t", "run_before", "run_after")
 
 
-_DIAM = f"""{TRK}, p as (select * from trk where visible and t < 64),
-pairs as (select a.episode, a.kp, max(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(cast(0.1 as double) * a.z - cast(0.1 as double) * b.z, 2))) as dist from p a join p b on a.kp = b.kp and a.t < b.t group by all),
-diam as (select k.episode, k.kp, coalesce(dist, 0) as diameter from (select distinct episode, kp from trk) k left join pairs on k.kp = pairs.kp)"""
-
-
-@_q(f"with {_DIAM} select episode, kp, round(diameter, 6) as diameter from diam")
+@_q(f"with {_DIAM} select episode, kp, round(diameter, 4) as diameter from diam")
 def track_diameter(spark: SparkSession, d: str) -> DataFrame:
-    return op.track_diameter(tracks(spark, d)).select("episode", "kp", r6(F.col("diameter"), "diameter"))
+    return op.track_diameter(first_seen(spark, d)).select("episode", "kp", F.round("diameter", 4).alias("diameter"))
 
 
-@_q(f"with {_DIAM} select episode, kp, diameter > {((HEIGHT / 20) ** 2 + (WIDTH / 20) ** 2) ** 0.5!r} as is_moving from diam")
+@_q(f"with {_DIAM} select episode, kp, kp in (select kp from mov) as is_moving from diam")
 def moving_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return op.moving_tracks(op.track_diameter(tracks(spark, d)), WIDTH, HEIGHT).select("episode", "kp", "is_moving")
+    return op.moving_tracks(op.track_diameter(first_seen(spark, d)), WIDTH, HEIGHT).select("episode", "kp", "is_moving")
 
 
 @_q(f"with {_DIAM} select episode, count(*) as total_unique_kps, count(*) filter (diameter / {WIDTH} > 0.05) as n_above_005, count(*) filter (diameter / {WIDTH} > 0.10) as n_above_010 from diam group by 1")
 def movement_counters(spark: SparkSession, d: str) -> DataFrame:
-    return op.movement_counters(op.track_diameter(tracks(spark, d)), WIDTH)
+    return op.movement_counters(op.track_diameter(first_seen(spark, d)), WIDTH)
 
 
-_COV = f"""{TRK}, {FRM}, cells as (select episode, t, count(distinct least(15, cast(floor(y / {HEIGHT} * 16) as int)) * 16 + least(15, cast(floor(x / {WIDTH} * 16) as int))) as n from trk
+_COV = f"""{TRK}, {FRM}, {OWN}, cells as (select episode, t, count(distinct least(15, cast(floor(y / {HEIGHT} * 16) as int)) * 16 + least(15, cast(floor(x / {WIDTH} * 16) as int))) as n from own
   where visible and x >= 0 and x < {WIDTH} and y >= 0 and y < {HEIGHT} group by 1, 2),
 cov as (select frm.episode, frm.t, coalesce(n, 0) / cast(256 as double) as coverage from frm left join cells on frm.episode = cells.episode and frm.t = cells.t)"""
 
@@ -75,13 +81,13 @@ cov as (select frm.episode, frm.t, coalesce(n, 0) / cast(256 as double) as cover
 @_q(f"with {_COV} select episode, t, round(coverage, 6) as coverage from cov")
 def patch_coverage(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d)
-    return op.patch_coverage(t, frames(t), WIDTH, HEIGHT).select("episode", "t", r6(F.col("coverage"), "coverage"))
+    return op.patch_coverage(op.through_own_camera(t, cameras(t)), frames(t), WIDTH, HEIGHT).select("episode", "t", r6(F.col("coverage"), "coverage"))
 
 
 @_q(f"with {_COV} select episode, round(avg(coverage), 6) as mean_coverage, avg(coverage) >= 0.03 as accepted from cov group by 1")
 def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d)
-    return op.coverage_gate(op.patch_coverage(t, frames(t), WIDTH, HEIGHT), 0.03).select("episode", r6(F.col("mean_coverage"), "mean_coverage"), "accepted")
+    return op.coverage_gate(op.patch_coverage(op.through_own_camera(t, cameras(t)), frames(t), WIDTH, HEIGHT), 0.03).select("episode", r6(F.col("mean_coverage"), "mean_coverage"), "accepted")
 
 
 _MASK = f"""{TRK}, {FRM}, c as (select distinct episode, t, greatest(0, least(15, cast(floor(y / {HEIGHT} * 16) as int))) as py, greatest(0, least(15, cast(floor(x / {WIDTH} * 16) as int))) as px from trk where visible),
@@ -158,6 +164,65 @@ def keypoints_per_frame(spark: SparkSession, d: str) -> DataFrame:
     return op.keypoints_per_frame(t, frames(t))
 
 
+@_q(f"with {TRK}, {OWN} select episode, kp, t, round(x, 4) as u, round(y, 4) as v, round(z, 6) as depth from own")
+def own_camera_join(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d)
+    return op.through_own_camera(t, cameras(t)).select("episode", "kp", "t", F.round("x", 4).alias("u"), F.round("y", 4).alias("v"), r6(F.col("z"), "depth"))
+
+
+@_q(f"with {TRK}, {ONE} select episode, kp, t, round(x, 4) as u, round(y, 4) as v, round(z, 6) as depth from one")
+def first_camera_join(spark: SparkSession, d: str) -> DataFrame:
+    return first_seen(spark, d).select("episode", "kp", "t", F.round("x", 4).alias("u"), F.round("y", 4).alias("v"), r6(F.col("z"), "depth"))
+
+
+# Samples ------------------------------------------------------------------------------------------
+
+# Every life through the camera of every anchor frame within it; both ways; read at equal arc length.
+_LIFE = f"""life as (select episode, kp, min(t) as born, max(t) as died from trk group by 1, 2),
+seen as (select p.episode, kp, born, died, camt.t as anchor, p.t as step, {SEEN} from (select trk.*, born, died from trk join life using (episode, kp)) p join camt on p.episode = camt.episode and camt.t between born and died),
+way as (select 'f' as way, *, step - anchor as i from seen where step >= anchor union all select 'h' as way, *, anchor - step as i from seen where step <= anchor),
+len as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(z) over w as z1 from way window w as (partition by way, episode, kp, anchor order by i)),
+rank as (select *, l, row_number() over (partition by way, episode, born, died, anchor, i order by l desc) as k, greatest(1, ceil(cast(0.02 as double) * count(*) over (partition by way, episode, born, died, anchor, i))) as most
+  from (select *, sqrt(power((x1 - x) / {WIDTH}, 2) + power((y1 - y) / {HEIGHT}, 2) + power(z1 - z, 2)) as l from len) where x1 is not null),
+pace as (select way, episode, born, died, anchor, i, avg(l) as r from rank where k <= most group by all),
+clock as (select *, coalesce(sum(r) over (partition by way, episode, born, died, anchor order by i rows between unbounded preceding and 1 preceding), 0) as s from pace),
+total as (select way, episode, born, died, anchor, max(i) as last, sum(r) as l, least(cast(floor(sum(r) / cast(0.05 as double)) as bigint) + 1, case when way = 'f' then 128 else 32 end) as m from pace group by 1, 2, 3, 4, 5),
+slot as (select * exclude (m, l), cast(0.05 as double) * j as mark from (select *, unnest(range(m)) as j from total)),
+place as (select slot.way, slot.episode, slot.born, slot.died, slot.anchor, j, max(mark) as mark, max(i) as i from slot join clock c on slot.way = c.way and slot.episode = c.episode and slot.born = c.born and slot.died = c.died and slot.anchor = c.anchor and c.s <= mark group by all),
+mix as (select q.*, (mark - s) / greatest(r, 1e-12) as a from place q join clock c on q.way = c.way and q.episode = c.episode and q.born = c.born and q.died = c.died and q.anchor = c.anchor and q.i = c.i),
+read as (select l.way, l.episode, l.kp, l.anchor, j, l.x + a * (x1 - l.x) as x, l.y + a * (y1 - l.y) as y, l.z + a * (z1 - l.z) as z from mix q join len l on q.way = l.way and q.episode = l.episode and q.born = l.born and q.died = l.died and q.anchor = l.anchor and q.i = l.i and x1 is not null
+  union all select way, episode, kp, anchor, 0, x, y, z from len where i = 0 and x1 is null)"""
+_SUMS = lambda n, j: f"count(*) as n_{n}, round(sum(x) + sum(y) + sum(z)) as s_{n}, round(sum({j} * (x - y + z)) / 10) as o_{n}"
+
+
+def _sums(points: str, name: str) -> list:
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), F.lit(0).alias("j"))
+    r = F.aggregate(points, zero, lambda a, p: F.struct((a.s + p.x + p.y + p.z).alias("s"), (a.o + a.j * (p.x - p.y + p.z)).alias("o"), (a.j + 1).alias("j")))
+    return [F.size(points).cast("bigint").alias(f"n_{name}"), F.round(r.s).alias(f"s_{name}"), F.round(r.o / 10).alias(f"o_{name}")]
+
+
+@_q(f"""with {TRK}, {CAMT}, {_LIFE}, on_ as (select episode, kp, anchor from way where way = 'f' and i = 0 and x >= 0 and x < {WIDTH} and y >= 0 and y < {HEIGHT} and died > anchor),
+f as (select episode, kp, anchor, {_SUMS('future', 'j')} from read where way = 'f' group by all), h as (select episode, kp, anchor, {_SUMS('history', 'j')} from read where way = 'h' group by all)
+select on_.episode, on_.anchor as t, on_.kp, f.* exclude (episode, kp, anchor), h.* exclude (episode, kp, anchor) from on_ join f on on_.episode = f.episode and on_.kp = f.kp and on_.anchor = f.anchor join h on on_.episode = h.episode and on_.kp = h.kp and on_.anchor = h.anchor""")
+def retargeted_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Every on-screen anchor of every track: number of slots, sums and order-sensitive sums of the retargeted future and history."""
+    t = tracks(spark, d)
+    s = rt.assembled_samples(t, cameras(t), WIDTH, HEIGHT)
+    return s.select("episode", "t", "kp", *_sums("traj", "future"), *_sums("traj_history", "history"))
+
+
+@_q(f"""with {_DIAM}, {_LIFE}, on_ as (select episode, kp, anchor, x, y from way where way = 'f' and i = 0 and x >= 0 and x < {WIDTH} and y >= 0 and y < {HEIGHT} and died > anchor and kp in (select kp from mov)),
+f as (select episode, kp, anchor, {_SUMS('future', 'i')} from way where way = 'f' and i < 128 group by all), h as (select episode, kp, anchor, {_SUMS('history', 'i')} from way where way = 'h' and i < 32 group by all)
+select on_.episode, on_.anchor as t, on_.kp, round(x, 4) as x, round(y, 4) as y, f.* exclude (episode, kp, anchor), h.* exclude (episode, kp, anchor), 128 - least(n_future, 128) as n_padding
+from on_ join f on on_.episode = f.episode and on_.kp = f.kp and on_.anchor = f.anchor join h on on_.episode = h.episode and on_.kp = h.kp and on_.anchor = h.anchor""")
+def sample_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Raw future and history of every moving, on-screen anchor, seen by the anchor's camera, and the padding of its fixed-length array."""
+    t = tracks(spark, d)
+    s = rt.assembled_samples(t, cameras(t), WIDTH, HEIGHT, op.moving_tracks(op.track_diameter(first_seen(spark, d)), WIDTH, HEIGHT))
+    fixed, real = rt.padded("raw_traj", 128)
+    return s.withColumn("fixed", fixed).withColumn("real", real).select("episode", "t", "kp", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), *_sums("raw_traj", "future"), *_sums("raw_traj_history", "history"), F.size(F.filter("fixed", lambda p: p.x == float("-inf"))).cast("bigint").alias("n_padding"))
+
+
 # Cameras ------------------------------------------------------------------------------------------
 
 _XC = "(cos(yaw) * x + sin(yaw) * z + tx)"
