@@ -141,3 +141,38 @@ def test_positional_pairs_raise_on_different_sizes(spark):
     a, b = spark.createDataFrame([(2,), (1,)], "a int"), spark.createDataFrame([(5,)], "b int")
     with pytest.raises(Exception, match="differ in size"):
         positional_pairs(a, b, "a", "b").collect()
+
+
+def test_stable_numbers_have_their_fixed_values(spark):
+    import hashlib
+
+    from tracespark.operators.admission import stable_int, stable_unit
+
+    rows = [(str(i),) for i in range(60)] + [(None,)]
+    got = spark.createDataFrame(rows, "k string").select("k", stable_unit(F.col("k"), "s").alias("u"), stable_int(F.col("k"), 10, 17, "s").alias("n"), stable_unit(F.col("k"), 1).alias("v")).collect()
+    h = lambda kind, k: int(hashlib.sha256(f"{kind}_s_{k}".encode()).hexdigest(), 16)
+    for r in got:
+        if r.k is None:
+            assert r.u is None and r.n is None
+        else:
+            assert r.u == pytest.approx((h("hash_random", r.k) % (2**128 + 1)) / 2**128, abs=1e-15) and r.n == 10 + h("hash_randint", r.k) % 7 and r.v != r.u
+
+
+def test_weighted_choice_on_ties_and_zeros(spark):
+    from tracespark.operators.admission import weighted_choice
+
+    items = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 0.0), ("d", 2.0), ("e", None)], "item string, w double")
+    draws = spark.createDataFrame([(0, 0.0), (1, 0.25), (2, 0.2501), (3, 0.5), (4, 0.6), (5, 1.0), (6, None)], "draw int, u double")
+    got = {r.draw: r.item for r in weighted_choice(items, draws, "item", "w").collect()}
+    assert got == {0: "a", 1: "a", 2: "b", 3: "b", 4: "d", 5: "d"}
+    zero = spark.createDataFrame([("a", 0.0), ("b", 3.0)], "item string, w double")
+    assert {r.draw: r.item for r in weighted_choice(zero, draws, "item", "w").collect()}[0] == "a"
+    assert weighted_choice(items.limit(0), draws, "item", "w").count() == 0
+
+
+def test_places_in_order(spark):
+    from tracespark.runtime import in_order
+
+    r = np.random.default_rng(3).permutation(500).tolist()
+    got = in_order(spark.createDataFrame([(x,) for x in r], "k int"), ["k"]).collect()
+    assert all(x._before == x.k and x._all == 500 for x in got) and len(got) == 500

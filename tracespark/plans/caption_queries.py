@@ -92,10 +92,10 @@ def adjacent_duplicate_text(spark: SparkSession, d: str) -> DataFrame:
     return cp.adjacent_duplicates(t)
 
 
-@_q("""with r as (select doc_id, trim(text) as t, regexp_extract(text, '(\\{.*\\})', 1, 's') as inner_part from documents where source = 'record_dump' and text is not null)
+@_q("""with r as (select doc_id, trim(text) as t, regexp_extract(text, '(\\{.*\\})', 1, 's') as inner_part from documents where text is not null)
 select doc_id, (json_valid(t) and t like '{%') or (inner_part <> '' and json_valid(inner_part)) as repaired from r""")
 def caption_json_repair(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source = 'record_dump' and text is not null")
+    docs = table(spark, d, "documents").where("text is not null")
     reply = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
     return docs.select("doc_id", cp.repaired_json(reply).isNotNull().alias("repaired"))
 
@@ -197,7 +197,7 @@ def se3_alignment(spark: SparkSession, d: str) -> DataFrame:
     from tracespark.functions import geometry as g
     from tracespark.plans.standins import pose, with_camera
 
-    c = with_camera(tracks(spark, d).select("episode", "t").distinct().where("t % 10 = 0"))
+    c = with_camera(tracks(spark, d).select("episode", "t").distinct())
     m = pose()
     k = F.floor(F.col("t") / 60)
     yaw = 0.2 + 0.1 * k
@@ -264,9 +264,9 @@ def incremental_skip_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return ad.still_to_do(table(spark, d, "episodes").select("video_id").distinct(), c, 0.9, "video_id")
 
 
-@_q("with l as (select video_id as episode, case when error is null then 'done' else 'failed' end as status, exported_at as happened from curated_training_texts), m as (select episode, arg_max(status, (happened, status)) as status from l where happened is not null group by 1) select status, count(*) as n_episodes from m group by 1")
+@_q("with l as (select video_id as episode, case when error is null then 'done' else 'failed' end as status, exported_at as happened from curated_training_texts), m as (select episode, status from l qualify row_number() over (partition by episode order by happened desc nulls last, status desc) = 1) select status, count(*) as n_episodes from m group by 1")
 def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "curated_training_texts").where("exported_at is not null").select(F.col("video_id").alias("episode"), F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.lit(None).cast("double").alias("coverage"), F.col("exported_at").alias("at"))
+    c = table(spark, d, "curated_training_texts").select(F.col("video_id").alias("episode"), F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.lit(None).cast("double").alias("coverage"), F.col("exported_at").alias("at"))
     return ad.run_summary(ad.ledger_upsert(c.limit(0), c))
 
 
@@ -280,10 +280,10 @@ def shard_slice(spark: SparkSession, d: str) -> DataFrame:
     return ad.shard_of(table(spark, d, "episodes"), "video_id", 2, 4)
 
 
-@_q("with a as (select s_suppkey, row_number() over (order by s_suppkey) as position from supplier), b as (select p_partkey, row_number() over (order by p_partkey) as position from (select * from part where p_partkey < (select count(*) from supplier))) select position, s_suppkey, p_partkey from a join b using (position)")
+@_q("with a as (select s_suppkey, row_number() over (order by s_suppkey) as position from supplier), b as (select s_name, row_number() over (order by s_name) as position from supplier) select position, s_suppkey, s_name from a join b using (position)")
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    s, p = table(spark, d, "supplier"), table(spark, d, "part")
-    return ad.positional_pairs(s, p.where(F.col("p_partkey") < s.count()), "s_suppkey", "p_partkey")
+    s = table(spark, d, "supplier")
+    return ad.positional_pairs(s, s, "s_suppkey", "s_name")
 
 
 @_q("select distinct c_name, lpad(regexp_extract(c_name, '(\\d+)$', 1), 20, '0') as digits from customer")
@@ -292,30 +292,35 @@ def natural_sort_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_name", F.substring(k, -20, 20).alias("digits")).distinct()
 
 
-@_q("select distinct dataset, path, case when dataset = 'agibot' then string_split(path, '/')[-2] when dataset = 'egodex' then string_split(path, '/')[-3] || '__' || string_split(path, '/')[-2] || '__' || regexp_replace(string_split(path, '/')[-1], '\\.\\w+$', '') else regexp_replace(string_split(path, '/')[-1], '\\.\\w+$', '') end as name from sample_files where dataset <> 'droid' and path is not null")
+@_q("select distinct dataset, path, case when dataset = 'agibot' then string_split(path, '/')[-2] when dataset = 'egodex' then string_split(path, '/')[-3] || '__' || string_split(path, '/')[-2] || '__' || regexp_replace(string_split(path, '/')[-1], '\\.\\w+$', '') when dataset = 'droid' then 'droid_shard' || lpad(regexp_extract(path, 'shard-0*(\\d+)', 1), 5, '0') || '_ep' || case when length(regexp_extract(path, 'ep_?0*(\\d+)', 1)) >= 3 then regexp_extract(path, 'ep_?0*(\\d+)', 1) else lpad(regexp_extract(path, 'ep_?0*(\\d+)', 1), 3, '0') end else regexp_replace(string_split(path, '/')[-1], '\\.\\w+$', '') end as name from sample_files where path is not null")
 def path_episode_naming(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "sample_files").where("dataset <> 'droid' and path is not null").select("dataset", "path").distinct()
+    f = table(spark, d, "sample_files").where("path is not null").select("dataset", "path").distinct()
     return f.select("dataset", "path", ad.episode_name(F.col("dataset"), F.col("path")).alias("name"))
 
 
-@_q("select p_partkey, substr(sha256(cast(p_partkey as varchar)), 1, 13) as hex from part")
+@_q("""with h as (select p_partkey, sha256('hash_randint_7_' || p_partkey) as h, sha256('hash_random_7_' || p_partkey) as u from part),
+n as (select p_partkey, list_reduce(list_transform(range(16), lambda i: cast('0x' || substr(h, 4 * i + 1, 4) as bigint)), lambda a, b: (a * 65536 + b) % 1000) as r,
+  list_transform(range(8), lambda i: cast(cast('0x' || substr(u, 8 * i + 1, 8) as bigint) as double)) as w from h)
+select p_partkey, cast(r - 500 as bigint) as number, round(case when d < 0 then d + 1 else d end, 9) as unit from (select *, (w[5] - w[1]) / 4294967296 + (w[6] - w[2]) / power(2, 64) + (w[7] - w[3]) / power(2, 96) as d from n)""")
 def stable_hash_int(spark: SparkSession, d: str) -> DataFrame:
-    u = ad.stable_unit(F.col("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", F.lower(F.lpad(F.hex((u * float(16**13)).cast("bigint")), 13, "0")).alias("hex"))
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", ad.stable_int(k, -500, 500, 7).alias("number"), F.round(ad.stable_unit(k, 7), 9).alias("unit"))
 
 
 @_q("""with m as (select p_brand as item, sum(p_size) as w from part group by 1), c as (select item, sum(w) over (order by item rows unbounded preceding) as c, sum(w) over () as t from m),
-u as (select doc_id as draw, (doc_id % 1000) / cast(1000 as double) as u from documents) select draw, arg_min(item, c) as item from u join c on c.c > u * t group by 1""")
+u as (select distinct doc_id as draw, (doc_id % 1000) / cast(1000 as double) as u from documents) select draw, arg_min(item, c) as item from u join c on c.c >= u * t group by 1""")
 def weighted_sampler(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").groupBy(F.col("p_brand").alias("item")).agg(F.sum("p_size").alias("w"))
     draws = table(spark, d, "documents").select(F.col("doc_id").alias("draw"), ((F.col("doc_id") % 1000) / 1000).alias("u")).distinct()
     return ad.weighted_choice(items, draws, "item", "w")
 
 
-@_q("""with s as (select sample_id, keypoint_x, keypoint_y, dataset from samples) select dataset, count(*) as n_samples, count(*) filter (keypoint_x < 0 or keypoint_y < 0) as n_outside from s group by 1""")
+@_q("""with e as (select video_id, max(width) as w, max(height) as h from episodes group by 1)
+select dataset, count(*) as n_samples, count(*) filter (keypoint_x < 0 or keypoint_y < 0 or keypoint_x >= w or keypoint_y >= h) as n_outside, count(*) filter (w is null or h is null) as n_unsized
+from samples left join e using (video_id) group by 1""")
 def output_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Samples and how many anchors leave the frame, per dataset."""
-    s = table(spark, d, "samples")
-    return s.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if((F.col("keypoint_x") < 0) | (F.col("keypoint_y") < 0)).alias("n_outside"))
-
-
+    """Samples, how many anchors lie outside their recording's frame (half open), and how many have no known frame, per dataset."""
+    e = table(spark, d, "episodes").groupBy("video_id").agg(F.max("width").alias("w"), F.max("height").alias("h"))
+    s = table(spark, d, "samples").join(e, "video_id", "left")
+    x, y = F.col("keypoint_x"), F.col("keypoint_y")
+    return s.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if((x < 0) | (y < 0) | (x >= F.col("w")) | (y >= F.col("h"))).alias("n_outside"), F.count_if(F.col("w").isNull() | F.col("h").isNull()).alias("n_unsized"))

@@ -80,9 +80,9 @@ def moving_average_edge_padded(spark: SparkSession, d: str) -> DataFrame:
 _W11 = "[" + ", ".join("[" + ", ".join(f"cast({v!r} as double)" for v in r) + "]" for r in op.savgol_weights(11)) + "]"
 
 
-@_q(f"with {_SIG} select episode, segment, list_transform(range(len(a)), lambda i: round(list_sum(list_transform(range(11), lambda k: {_W11}[i - greatest(0, least(len(a) - 11, i - 5)) + 1][k + 1] * a[greatest(0, least(len(a) - 11, i - 5)) + k + 1])), 5)) as smoothed from sig where len(a) >= 11")
+@_q(f"with {_SIG}, {_WIN} select episode, segment, list_transform(range(len(a)), lambda i: round(list_sum(list_transform(range(11), lambda k: {_W11}[i - greatest(0, least(len(a) - 11, i - 5)) + 1][k + 1] * a[greatest(0, least(len(a) - 11, i - 5)) + k + 1])), 5)) as smoothed from sig where len(a) >= 11 union all select episode, segment, list_transform(range(n), lambda i: round(list_sum(list_transform(range(-h, h + 1), lambda k: a[greatest(0, least(n - 1, i + k)) + 1])) / (2 * h + 1), 5)) as smoothed from w where n < 11")
 def savgol_smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return signals(spark, d).where("size(a) >= 11").select("episode", "segment", F.transform(op.savgol(F.col("a")), lambda x: F.round(x, 5)).alias("smoothed"))
+    return signals(spark, d).select("episode", "segment", F.transform(op.savgol(F.col("a")), lambda x: F.round(x, 5)).alias("smoothed"))
 
 
 _PEAKS = f"""{_SIG}, s as (select *, list_min(a) as lo, list_max(a) - list_min(a) as span from sig where len(a) > 2),

@@ -225,26 +225,24 @@ def sample_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 # Cameras ------------------------------------------------------------------------------------------
 
-_XC = "(cos(yaw) * x + sin(yaw) * z + tx)"
-_ZC = "(-sin(yaw) * x + cos(yaw) * z)"
-
-
-@_q(f"with {TRK}, {CAM} select episode, kp, t, round((fx * {_XC} + cx * {_ZC}) / ({_ZC} + 1e-8), 4) as u, round((fy * y + cy * {_ZC}) / ({_ZC} + 1e-8), 4) as v, round({_ZC}, 6) as depth from cam where abs({_ZC}) > 0.01")
+@_q(f"with {TRK}, {OWN} select episode, kp, t, round(x, 4) as u, round(y, 4) as v, round(z, 6) as depth from own")
 def camera_projection_uvz(spark: SparkSession, d: str) -> DataFrame:
-    c = with_camera(tracks(spark, d))
-    u, v, z = g.project(*[F.col(k) for k in ("fx", "fy", "cx", "cy")], pose(), F.col("x"), F.col("y"), F.col("z"))
-    return c.select("episode", "kp", "t", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), r6(z, "depth")).where(F.abs("depth") > 0.01)
+    t = tracks(spark, d)
+    c = t.join(cameras(t), ["episode", "t"])
+    u, v, z = g.project(*[F.col(k) for k in ("fx", "fy", "cx", "cy")], [F.col("pose")[k] for k in range(16)], F.col("x"), F.col("y"), F.col("z"))
+    return c.select("episode", "kp", "t", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), r6(z, "depth"))
 
 
-@_q(f"with {TRK}, {CAM} select episode, kp, t, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from cam where abs({_ZC}) > 0.01")
+@_q(f"with {TRK} select episode, kp, t, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from trk")
 def unproject_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Projects every point and takes it back: the result must be the point."""
-    k = [F.col(c) for c in ("fx", "fy", "cx", "cy")]
-    c = with_camera(tracks(spark, d))
-    u, v, z = g.project(*k, pose(), F.col("x"), F.col("y"), F.col("z"))
-    c = c.withColumn("u", u).withColumn("v", v).withColumn("depth", z).where(F.abs("depth") > 0.01)
+    k, m = [F.col(c) for c in ("fx", "fy", "cx", "cy")], [F.col("pose")[i] for i in range(16)]
+    t = tracks(spark, d)
+    c = t.join(cameras(t), ["episode", "t"])
+    u, v, z = g.project(*k, m, F.col("x"), F.col("y"), F.col("z"))
+    c = c.withColumn("u", u).withColumn("v", v).withColumn("depth", z)
     a, b, e = g.unproject(*k, F.col("u") * (1 + 1e-8 / F.col("depth")), F.col("v") * (1 + 1e-8 / F.col("depth")), F.col("depth"))
-    x, y, w = g.rigid(g.inverse_rigid(pose()), a, b, e)
+    x, y, w = g.rigid(g.inverse_rigid(m), a, b, e)
     return c.select("episode", "kp", "t", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(w, 4).alias("z"))
 
 
@@ -292,12 +290,12 @@ def normalised_depth(spark: SparkSession, d: str) -> DataFrame:
     return op.normalised_depth(tracks(spark, d)).select("episode", "kp", "t", r6(F.col("z01"), "z01"))
 
 
-@_q("""with p as (select distinct dataset as episode, frame_index % 5 as t, cast(floor(keypoint_y / 10) as int) as y, cast(floor(keypoint_x / 10) as int) as x from samples),
+@_q("""with p as (select distinct video_id as episode, frame_index as t, cast(floor(keypoint_y / 10) as int) as y, cast(floor(keypoint_x / 10) as int) as x from samples),
 disk as (select distinct episode, t, y + dy as y, x + dx as x from p, (select unnest(generate_series(-3, 3)) as dy) a, (select unnest(generate_series(-3, 3)) as dx) b where dx * dx + dy * dy <= 9)
 select distinct episode, t, cast(y + ey as int) as y, cast(x + ex as int) as x from disk, (values (-1), (0), (1)) c(ey), (values (-1), (0), (1)) d(ex) where y + ey between 0 and 71 and x + ex between 0 and 95""")
 def motion_mask(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "samples")
-    p = s.select(F.col("dataset").alias("episode"), (F.col("frame_index") % 5).alias("t"), F.floor(F.col("keypoint_y") / 10).cast("int").alias("y"), F.floor(F.col("keypoint_x") / 10).cast("int").alias("x"))
+    p = s.select(F.col("video_id").alias("episode"), F.col("frame_index").alias("t"), F.floor(F.col("keypoint_y") / 10).cast("int").alias("y"), F.floor(F.col("keypoint_x") / 10).cast("int").alias("x"))
     return op.motion_mask(p, 72, 96, 3, 1)
 
 

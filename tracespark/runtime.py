@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,21 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def in_order(df: DataFrame, by: list[str], amount: F.Column | None = None, purpose: str = "ordered") -> DataFrame:
+    """Adds ``_before`` and ``_all``: the sum of ``amount`` (1) over the rows ahead in the order of ``by``, and over all rows.
+
+    Rows are stored in ranges of the order, one a task, so no task sorts or holds them all; only the sums of the
+    ranges meet in one place. ``by`` should tell rows apart: equal rows share a range.
+    """
+    df = stored(df.withColumn("_amount", F.lit(1) if amount is None else amount).repartitionByRange(parallelism(df.sparkSession), *by).withColumn("_range", F.spark_partition_id()), purpose)
+    sums = df.groupBy("_range").agg(F.sum("_amount").alias("_s"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = sums.select("_range", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(F.broadcast(sums), "_range")  # a row per range
+    return joined.withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).drop("_range", "_ahead", "_amount")
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of the input's (Spark compares them without case)."""
     there = {c.lower() for c in df.columns}

@@ -83,11 +83,17 @@ def _none(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], "path string, task string")
 
 
+def _children_with_a_store(spark: SparkSession, root: str) -> DataFrame:
+    """Folders right below root that hold a zarr.json; the arrays inside an episode have one too and are none."""
+    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/zarr.json").select("path")
+    return found.select(F.regexp_replace("path", "/zarr.json$", "").alias("path")).orderBy("path")
+
+
 DATASETS = {
     "agibot": Dataset(lambda s, r: listing(s, r, "obs.mp4").orderBy("path"), lambda p: episode_name(F.lit("agibot"), p), _task_files),
     "egodex": Dataset(_paired, lambda p: episode_name(F.lit("egodex"), p), _none),
     "droid": Dataset(lambda s, r: s.read.format("tfrecord").option("path", r).load().select(F.concat_ws("::ep", "shard", "record").alias("path")), lambda p: episode_name(F.lit("droid"), p), _none, lambda s, r: s.read.format("tfrecord").option("path", r).load()),
-    "egoverse": Dataset(lambda s, r: listing(s, r, "zarr.json").select(F.regexp_replace("path", "/zarr.json$", "").alias("path")).orderBy("path"), lambda p: episode_name(F.lit("egoverse"), p), _none, lambda s, r: s.read.format("zarr_frames").option("path", r).load()),
+    "egoverse": Dataset(_children_with_a_store, lambda p: episode_name(F.lit("egoverse"), p), _none, lambda s, r: s.read.format("zarr_frames").option("path", r).load()),
 }
 
 
