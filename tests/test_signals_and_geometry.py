@@ -91,7 +91,7 @@ def test_samples_of_groups_by_life(spark):
     assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 2)}  # the last frame of a life has no step ahead
     r = got[1, 1]
     assert [p.x for p in r.raw_traj] == pytest.approx([(10 * s + 1) / 2 for s in range(1, 5)]) and [p.x for p in r.raw_traj_history] == pytest.approx([11 / 2, 1 / 2])
-    assert np.allclose(np.diff([p.x for p in r.traj]), 5) and len(r.traj_history) == 2
+    assert np.allclose(np.diff([p.x for p in r.traj]), 5) and len(r.traj_history) == 1  # its clock falls just short of the next slot
     fixed = rt.assembled_samples(t, cams, 100, 100, moving).select(*[c.alias(n) for c, n in zip(rt.padded("raw_traj", 6), ("p", "ok"))]).collect()
     assert all(len(x.p) == len(x.ok) == 6 and [p.x > float("-inf") for p in x.p] == x.ok for x in fixed)
     assert rt.assembled_samples(t.limit(0), cams, 100, 100, moving).count() == 0
@@ -104,14 +104,19 @@ def pose(yaw, t):
     return m
 
 
-def test_alignment_recovers_the_move_and_rejects_one_outlier():
+def test_alignment_recovers_the_move_and_rejects_one_outlier(spark):
     src = np.array([pose(0.1 * i, [i, 0, 0.5 * i]) for i in range(9)])
     move = pose(0.4, [1, 2, 3])
-    assert np.allclose(al.align(src, move @ src), move)
     tgt = move @ src
-    tgt[4, :3, 3] += 50
-    assert np.allclose(al.align(src, tgt), move)
-    assert al.align(src[:0], src[:0]) is None and np.allclose(al.align(src[:1], tgt[:1]), move)
+    bad = tgt.copy()
+    bad[4, :3, 3] += 50
+    rows = [("all", s, t) for s, t in zip(src, tgt)] + [("bad", s, t) for s, t in zip(src, bad)] + [("one", src[3], tgt[3]), (None, src[1], tgt[1]), (None, src[2], tgt[2])]
+    rows = [(c, s.ravel().tolist(), t.ravel().tolist()) for c, s, t in rows] + [("none", None, tgt[0].ravel().tolist())]
+    df = spark.createDataFrame(rows, "chunk string, source array<double>, target array<double>").withColumn("n", F.lit(1))
+    got = {r.chunk: r for r in al.align_chunks(df).collect()}
+    assert set(got) == {"all", "bad", "one", None} and {k: r.n_anchors for k, r in got.items()} == {"all": 9, "bad": 9, "one": 1, None: 2}
+    assert all(np.allclose(np.array(r.transform).reshape(4, 4), move) for r in got.values())
+    assert al.align_chunks(df.limit(0)).count() == 0
 
 
 def test_rigid_columns(spark):

@@ -6,70 +6,56 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from tracespark.functions import geometry as g
 
-def mean_quaternion(q: np.ndarray) -> np.ndarray:
-    """Unit quaternion (w >= 0) nearest to all of q (rows w, x, y, z), signs aligned with the first."""
-    q = q * np.where(q @ q[0] < 0, -1.0, 1.0)[:, None]
-    v = np.linalg.eigh(q.T @ q)[1][:, -1]
-    return v if v[0] >= 0 else -v
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _principal(sums: pd.Series) -> pd.Series:
+    """Quaternion (w, x, y, z; w not negative) nearest to those whose ten products were summed; their signs do not matter."""
+    m = np.zeros((len(sums), 4, 4))
+    m[(slice(None), *np.triu_indices(4))] = np.stack(sums.to_numpy()) if len(sums) else 0
+    q = np.linalg.eigh(m + np.triu(m, 1).transpose(0, 2, 1))[1][:, :, -1]
+    return pd.Series(list(q * np.where(q[:, :1] < 0, -1.0, 1.0)))
 
-def _to_quaternion(r: np.ndarray) -> np.ndarray:
-    k = np.array([
-        [r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0],
-        [r[0, 1] + r[1, 0], r[1, 1] - r[0, 0] - r[2, 2], 0, 0],
-        [r[0, 2] + r[2, 0], r[1, 2] + r[2, 1], r[2, 2] - r[0, 0] - r[1, 1], 0],
-        [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], r.trace()],
-    ]) / 3
-    v = np.linalg.eigh(k)[1][:, -1]
-    q = v[[3, 0, 1, 2]]
-    return q if q[0] >= 0 else -q
 
+def _cells(c: str) -> list[Column]:
+    return [F.col(c)[k] for k in range(16)]
 
-def _to_rotation(q: np.ndarray) -> np.ndarray:
-    w, x, y, z = q
-    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
 
-
-def align(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
-    """The rigid transform that takes the source poses to the target ones; None without anchors.
-
-    One anchor gives its own transform; several their mean; from four on, anchors whose translation
-    residual reaches the mean plus two population deviations are left out once, if residuals vary.
-    """
-    if not len(source):
-        return None
-    each = target @ np.linalg.inv(source)
-    if len(each) == 1:
-        return each[0]
-
-    def mean(t: np.ndarray) -> np.ndarray:
-        out = np.eye(4)
-        out[:3, :3] = _to_rotation(mean_quaternion(np.array([_to_quaternion(x[:3, :3]) for x in t])))
-        out[:3, 3] = t[:, :3, 3].mean(0)
-        return out
-
-    m = mean(each)
-    if len(each) >= 4:
-        res = np.linalg.norm((target @ np.linalg.inv(m @ source))[:, :3, 3], axis=1)
-        if res.std() > 1e-10:
-            keep = res < res.mean() + 2 * res.std()
-            if keep.any() and not keep.all():
-                m = mean(each[keep])
-    return m
+def mean_poses(poses: DataFrame, group: str, pose: str) -> DataFrame:
+    """group, mean (16 doubles), n: the mean of rigid transforms, from sums that combine map-side: of translations, and of the products of quaternions."""
+    m = _cells(pose)
+    q = poses.select(group, F.array(*[m[i] for i in (3, 7, 11)]).alias("t"), F.array(*g.quaternion([m[i] for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)])).alias("q"))
+    products = [F.sum(F.col("q")[i] * F.col("q")[j]) for i in range(4) for j in range(i, 4)]
+    s = q.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array(*products).alias("p"), *[F.avg(F.col("t")[k]).alias(f"t{k}") for k in range(3)])
+    s = s.withColumn("q", _principal("p"))
+    r = g.rotation([F.col("q")[k] for k in range(4)])
+    rows = [x for k in range(3) for x in (*r[3 * k : 3 * k + 3], F.col(f"t{k}"))]
+    return s.select(group, F.array(*rows, *[F.lit(float(x)) for x in (0, 0, 0, 1)]).alias("mean"), "n")
 
 
 def align_chunks(anchors: DataFrame) -> DataFrame:
-    """chunk, transform (16 doubles), n_anchors. anchors: chunk, source, target (16 doubles each); a chunk's anchors are bounded by the sparse pass."""
+    """chunk, transform (16 doubles), n_anchors: the rigid transform that takes a chunk's source poses to the target ones.
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        s, t = (np.array(g[c].tolist(), dtype=np.float64).reshape(-1, 4, 4) for c in ("source", "target"))
-        m = align(s, t)
-        return pd.DataFrame({"chunk": [key[0]], "transform": [m.ravel()], "n_anchors": [len(g)]})
-
-    a = anchors.select("chunk", "source", "target").where("source is not null and target is not null")
-    return a.groupBy("chunk").applyInPandas(run, f"chunk {anchors.schema['chunk'].dataType.simpleString()}, transform array<double>, n_anchors bigint")
+    anchors: chunk, source, target (16 doubles each, by rows). The transform is the mean over the anchors. From four anchors on, those
+    whose translation is off by the mean plus two population deviations or more are left out once, where
+    residuals differ at all and some remain. Rows with a null pose are left out; a null chunk is a chunk; a chunk
+    without anchors has no row. All steps are aggregations, so a chunk may have any number of anchors.
+    """
+    a = anchors.where("source is not null and target is not null").select(F.col("chunk").alias("c"), "source", "target")
+    a = a.withColumn("each", F.array(*g.compose(_cells("target"), g.inverse_rigid(_cells("source")))))
+    first = mean_poses(a, "c", "each")
+    x, y = a.alias("x"), first.select(F.col("c").alias("d"), "mean", "n").where("n >= 4").alias("y")
+    left = g.compose(_cells("target"), g.inverse_rigid(g.compose(_cells("mean"), _cells("source"))))
+    off = x.join(y, F.col("x.c").eqNullSafe(F.col("y.d"))).select("c", "each", F.sqrt(left[3] ** 2 + left[7] ** 2 + left[11] ** 2).alias("off"))
+    bound = off.groupBy(F.col("c").alias("d")).agg((F.avg("off") + 2 * F.stddev_pop("off")).alias("bound"), F.stddev_pop("off").alias("spread")).where("spread > 1e-10")
+    x, y = off.alias("x"), bound.alias("y")
+    kept = mean_poses(x.join(y, F.col("x.c").eqNullSafe(F.col("y.d")) & (F.col("off") < F.col("bound"))).select("c", "each"), "c", "each").select(F.col("c").alias("d"), F.col("mean").alias("again"))
+    x, y = first.alias("x"), kept.alias("y")
+    out = x.join(y, F.col("x.c").eqNullSafe(F.col("y.d")), "left")
+    return out.select(F.col("c").alias("chunk"), F.coalesce("again", "mean").alias("transform"), F.col("n").alias("n_anchors"))
 
 
 def depth_scale(pixels: DataFrame) -> DataFrame:

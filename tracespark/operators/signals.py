@@ -7,8 +7,10 @@ output rows; readings must be finite (filter or repair them before).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -116,23 +118,28 @@ def savgol(a: Column, window: int = 11, degree: int = 2) -> Column:
 # Peaks and boundaries -----------------------------------------------------------------------------
 
 
+def _falls(s: np.ndarray) -> np.ndarray:
+    """The least value between each place and the nearest strictly higher one before it, its own included."""
+    out = np.empty(len(s))
+    ridge: list[tuple[float, float]] = []  # falling heights, each with the least value since the one before
+    for i, x in enumerate(s.tolist()):
+        low = x
+        while ridge and ridge[-1][0] <= x:
+            low = min(low, ridge.pop()[1])
+        out[i] = low
+        ridge.append((x, low))
+    return out
+
+
 def prominent_maxima(s: np.ndarray, p: Chunking) -> list[tuple[int, float]]:
-    """(place, prominence) of the local maxima high and prominent enough, in order of place."""
-    n = len(s)
-    if n < 3:
+    """(place, prominence) of the local maxima high and prominent enough, in order of place. The ends are no maxima; a flat signal has none."""
+    if len(s) < 3 or np.ptp(s) < 1e-9:
         return []
-    lo, span = float(s.min()), float(s.max() - s.min())
-    if span < 1e-9:
-        return []
-    out = []
-    for i in np.flatnonzero((s[1:-1] >= s[:-2]) & (s[1:-1] >= s[2:]) & (s[1:-1] >= lo + p.height_ratio * span)) + 1:
-        left, right = np.flatnonzero(s[:i] > s[i]), np.flatnonzero(s[i + 1 :] > s[i])
-        a = int(left[-1]) + 1 if len(left) else 0
-        b = i + 1 + (int(right[0]) if len(right) else n - i - 1)
-        prom = float(s[i] - max(s[a : i + 1].min(), s[i:b].min()))
-        if prom >= p.prominence_ratio * span:
-            out.append((int(i), prom))
-    return out
+    prominence = s - np.maximum(_falls(s), _falls(s[::-1])[::-1])
+    ok = (prominence >= p.prominence_ratio * np.ptp(s)) & (s - s.min() >= p.height_ratio * np.ptp(s))
+    ok[1:-1] &= (np.diff(s)[:-1] >= 0) & (np.diff(s)[1:] <= 0)
+    ok[[0, -1]] = False
+    return [(int(i), float(prominence[i])) for i in np.flatnonzero(ok)]
 
 
 def peak_candidates(signals: DataFrame, p: Chunking = GENERAL) -> DataFrame:
@@ -163,66 +170,62 @@ def valley_boundaries(signals: DataFrame, peaks: DataFrame) -> DataFrame:
     return v.where("boundary > i and boundary < j").select("episode", "segment", "boundary")
 
 
-def _peaks(s: np.ndarray, p: Chunking) -> list[int]:
-    """Peaks in order of prominence, at least min_len apart."""
-    kept: list[int] = []
-    for _, i in sorted((-prom, i) for i, prom in prominent_maxima(s, p)):
-        if all(abs(i - k) >= p.min_len for k in kept):
+def spaced_peaks(s: np.ndarray, p: Chunking) -> list[int]:
+    """Peaks in order of prominence; each blocks the places nearer than min_len around it."""
+    free = np.ones(len(s), bool)
+    kept = []
+    for i, _ in sorted(prominent_maxima(s, p), key=lambda m: (-m[1], m[0])):
+        if free[i]:
             kept.append(i)
+            free[max(0, i - p.min_len + 1) : i + p.min_len] = False
     return kept
 
 
 def enforce_lengths(boundaries: list[int], n: int, p: Chunking) -> list[tuple[int, int]]:
     """Inclusive pieces of 0..n-1: short ones join their shorter neighbour (the left one on a tie), long ones split into near-equal parts."""
-    cuts = sorted({0, n, *(b for b in boundaries if 0 < b < n)})
-    size = [b - a for a, b in zip(cuts, cuts[1:])]
-    while len(size) > 1:
-        k = next((i for i, s in enumerate(size) if s < p.min_len), None)
-        if k is None:
-            break
-        to = k - 1 if k == len(size) - 1 or k > 0 and size[k - 1] <= size[k + 1] else k + 1
-        a, b = min(k, to), max(k, to)
-        size[a : b + 1] = [size[a] + size[b]]
-    out, at = [], 0
-    for s in size:
-        parts = -(-s // p.max_len)
-        for q in range(parts):
-            step = s // parts + (1 if q < s % parts else 0)
-            out.append((at, at + step - 1))
-            at += step
-    return out
+    inner = sorted({b for b in boundaries if 0 < b < n})
+    ahead = deque(np.diff([0, *inner, n]).tolist())
+    whole: list[int] = []  # long enough, or the only one
+    while ahead:
+        size = ahead.popleft()
+        if size >= p.min_len or not (whole or ahead):
+            whole.append(size)
+        elif not ahead or (whole and whole[-1] <= ahead[0]):
+            whole[-1] += size
+        else:
+            ahead[0] += size
+    parts = [len(x) for size in whole for x in np.array_split(np.empty(size), -(-size // p.max_len))]
+    ends = np.cumsum(parts).tolist()
+    return [(e - k, e - 1) for e, k in zip(ends, parts)]
+
+
+def motion_boundaries(s: np.ndarray, p: Chunking) -> list[int]:
+    """Where a smoothed signal is cut: at the lowest place between each two of its most prominent peaks, evenly without any."""
+    most = max(p.max_peaks, len(s) // p.max_len - 1) if p.grow_with_length else p.max_peaks
+    peaks = sorted(spaced_peaks(s, p)[:most])
+    if peaks:
+        lows = [(a, a + int(s[a : b + 1].argmin()), b) for a, b in pairwise(peaks)]
+        return [low for a, low, b in lows if a < low < b]
+    return list(range(0, len(s), int(np.clip(len(s) // 3, p.min_len, p.max_len))))[1:] if p.uniform_without_peaks else []
 
 
 def chunk_signal(a: np.ndarray, p: Chunking = GENERAL) -> list[tuple[int, int, float, float]]:
-    """(start, end, peak, mean) of the motion chunks of one signal; chunks tile it."""
-    n = len(a)
-    if n == 0:
+    """(start, end, peak, mean) of the motion chunks of one signal; chunks tile it. Signals up to min_len are one chunk."""
+    if not len(a):
         return []
-    if n <= max(p.min_len, 2):
-        pieces = [(0, n - 1)]
-    else:
-        s = _smooth(a, p.smooth_window)
-        cap = max(1, (max(p.max_peaks + 1, n // p.max_len) if p.grow_with_length else p.max_peaks + 1) - 1)
-        top = sorted(_peaks(s, p)[:cap])
-        if top:
-            cuts = [x + int(np.argmin(s[x : y + 1])) for x, y in zip(top, top[1:])]
-            cuts = [c for c, x, y in zip(cuts, top, top[1:]) if x < c < y]
-        elif p.uniform_without_peaks:
-            step = max(p.min_len, min(p.max_len, max(n // 3, p.min_len)))
-            cuts = list(range(step, n, step))
-        else:
-            cuts = []
-        pieces = enforce_lengths(cuts, n, p)
-    return [(x, y, float(a[x : y + 1].max()), float(a[x : y + 1].mean())) for x, y in pieces]
+    short = len(a) <= max(p.min_len, 2)
+    pieces = [(0, len(a) - 1)] if short else enforce_lengths(motion_boundaries(smoothed(a, p.smooth_window), p), len(a), p)
+    starts = [x for x, _ in pieces]
+    sums, tops = np.add.reduceat(a, starts), np.maximum.reduceat(a, starts)
+    return [(x, y, float(t), float(m) / (y - x + 1)) for (x, y), t, m in zip(pieces, tops, sums)]
 
 
-def _smooth(a: np.ndarray, window: int) -> np.ndarray:
-    n = len(a)
-    w = max(3, min(window, n if n % 2 else n - 1))
-    w += 1 - w % 2
-    if w >= 5 and n >= w:
+def smoothed(a: np.ndarray, window: int) -> np.ndarray:
+    """By local parabolas, or by the mean where only a window of three fits; the window is odd and no longer than the signal."""
+    w = max(3, min(window | 1, (len(a) - 1) | 1))
+    if w > 3 and len(a) >= w:
         return savgol_values(a, w)
-    return np.convolve(np.pad(a, w // 2, mode="edge"), np.ones(w) / w, "valid")
+    return np.lib.stride_tricks.sliding_window_view(np.pad(a, w // 2, mode="edge"), w).mean(1)
 
 
 def chunk_signals(signals: DataFrame, p: Chunking = GENERAL) -> DataFrame:

@@ -191,7 +191,9 @@ def robust_segment_length(spark: SparkSession, d: str) -> DataFrame:
 # Alignment and fits -------------------------------------------------------------------------------
 
 
-@_q(None)
+@_q(f"""with {TRK}, a as (select distinct episode, t, floor(t / 60) as k from trk)
+select episode || '/' || cast(k as bigint) as chunk, list_transform([cos(yaw), 0, sin(yaw), k * 0.5, 0, 1, 0, -0.25, -sin(yaw), 0, cos(yaw), 1.5, 0, 0, 0, 1], lambda x: round(cast(x as double), 5) + 0) as transform, count(*) as n_anchors
+from (select *, cast(0.2 as double) + cast(0.1 as double) * k as yaw from a) group by episode, k, yaw""")
 def se3_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of anchors moved by a known turn and shift: the alignment must find them."""
     from tracespark.functions import geometry as g
@@ -203,7 +205,7 @@ def se3_alignment(spark: SparkSession, d: str) -> DataFrame:
     yaw = 0.2 + 0.1 * k
     move = [F.cos(yaw), F.lit(0.0), F.sin(yaw), k * 0.5, F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(-0.25), -F.sin(yaw), F.lit(0.0), F.cos(yaw), F.lit(1.5), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
     a = c.select(F.concat_ws("/", "episode", k).alias("chunk"), F.array(*m).alias("source"), F.array(*g.compose(move, m)).alias("target"))
-    return al.align_chunks(a).select("chunk", F.transform("transform", lambda x: F.round(x, 5)).alias("transform"), "n_anchors")
+    return al.align_chunks(a).select("chunk", F.transform("transform", lambda x: F.round(x, 5) + 0.0).alias("transform"), "n_anchors")
 
 
 @_q("""with p as (select l_suppkey as episode, month(l_shipdate) as t, l_extendedprice as known, l_quantity as pred from lineitem), m as (select episode, t, median(known) / median(pred) as s from p where known > 0 and pred > 0 group by 1, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracespark.operators import signals as op
@@ -116,6 +116,18 @@ def motion_chunks_robot(spark: SparkSession, d: str) -> DataFrame:
     return op.chunk_signals(signals(spark, d), op.ROBOT)
 
 
+@_q(f"""with {_SIG} select episode, segment, first_idx as first, first_idx + len(a) - 1 as last, cast(0 as bigint) as n_loose, true as short_enough, round(list_max(a), 6) as peak, true as long_enough from sig where len(a) > 0 and first_idx is not null""")
+def motion_chunk_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """Per signal: the frames its chunks cover, breaks between them, and whether every chunk keeps the shortest and the longest length."""
+    p = op.GENERAL
+    c = op.chunk_signals(signals(spark, d), p)
+    w = Window.partitionBy("episode", "segment").orderBy("start_idx")
+    n = F.col("end_idx") - F.col("start_idx") + 1
+    g = c.withColumn("loose", F.coalesce(F.col("start_idx") != F.lag("end_idx").over(w) + 1, F.lit(False))).groupBy("episode", "segment")
+    least = F.least(F.lit(p.min_len), F.max("end_idx") - F.min("start_idx") + 1)
+    return g.agg(F.min("start_idx").alias("first"), F.max("end_idx").alias("last"), F.count_if("loose").alias("n_loose"), (F.max(n) <= p.max_len).alias("short_enough"), F.round(F.max("peak_acceleration"), 6).alias("peak"), (F.min(n) >= least).alias("long_enough"))
+
+
 _HELD = """held as (select video_id as episode, chunk_id, segment_id as segment, start_idx, end_idx from chunks
   qualify row_number() over (partition by video_id, chunk_id order by ingested_at desc nulls last, segment_id desc nulls last, start_idx desc nulls last, end_idx desc nulls last) = 1)"""
 
