@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 LEX_SLOTS = 1 << 22
@@ -300,14 +301,12 @@ def _names(t: str, lex: bytes) -> list[Node]:
 def candidates(t: str, lex: bytes) -> list[Node]:
     """All candidates of a normalised text, in order and without overlaps; emails win over addresses, those over digits and names."""
     out: list[Node] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+    taken: list[tuple[int, int]] = []  # in order
 
     def put(node: Node) -> None:
-        if node.end > node.start and free(node.start, node.end):
-            taken.append((node.start, node.end))
+        k = bisect_left(taken, (node.start, node.end))
+        if node.end > node.start and (k == 0 or taken[k - 1][1] <= node.start) and (k == len(taken) or node.end <= taken[k][0]):
+            taken.insert(k, (node.start, node.end))
             out.append(node)
 
     low = t.lower()

@@ -27,7 +27,7 @@ from tracespark.runtime import spread
 
 KINDS = {"e": ("email", None), "d": ("phone", "id_number"), "a": ("address", None), "n": ("name", None)}
 DIM, CHAIN_GAP, ROUNDS = 1 << 14, 48, 6
-TRAINING_TEXTS = 2500
+TRAINING_TEXTS, TRAINING_NAMES = 2500, 1000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
@@ -113,7 +113,7 @@ def fit(things: list[str], texts: int = TRAINING_TEXTS) -> Model:
             for y in far:
                 gs[k] += g[y] ** 2
                 skip_w[k] -= 0.1 * g[y] / np.sqrt(gs[k])
-    return Model(w.astype(np.float32), np.clip(chain_w, -2, 2).reshape(4, 4), np.clip(skip_w, 0.5, 4))
+    return Model(w.astype(np.float32), np.clip(chain_w, -2, 2).reshape(4, 4), np.clip(skip_w, 0, 4))
 
 
 def beliefs(unary: np.ndarray, pairs: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -204,8 +204,8 @@ _CAP = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]+(?:'[A-Z][a-zà-ÿ]+)?|[A-Z]'[A-Z][a-z
 _SMALL = frozenset("von de van der la".split())
 
 
-def name_words(docs: DataFrame, known: DataFrame, column: str = "text", least: int = 3, share: float = 0.08) -> tuple[bytes, list[str]]:
-    """Name codes by hashed word (1 given, 2 family, 3 both), and known given names that are also common words.
+def name_words(docs: DataFrame, known: DataFrame, column: str = "text", least: int = 3, share: float = 0.08, training_names: int = TRAINING_NAMES) -> tuple[bytes, list[str]]:
+    """Name codes by hashed word (1 given, 2 family, 3 both), and given names for the labelled sample (at most ``training_names`` of the known, by hash).
 
     Counted over all texts: how often a capitalised word stands in a place that announces a name,
     against all its capitalised uses; words with at least ``least`` such places and that ``share`` of them
@@ -244,12 +244,12 @@ def name_words(docs: DataFrame, known: DataFrame, column: str = "text", least: i
     lex = bytearray(LEX_SLOTS)
     for r in slots.toLocalIterator():  # at most LEX_SLOTS rows
         lex[r.slot] |= r.code
-    given = []
-    for r in known.select("name", "name_kind").where("name is not null").toLocalIterator():
-        lex[slot(r.name)] |= 1 if r.name_kind == "given" else 2
-        if r.name_kind == "given":
-            given.append(r.name)
-    return bytes(lex), sorted(given)[:200]
+    names = known.where("name is not null").select("name", (F.col("name_kind") == "given").alias("given"))
+    listed = names.groupBy(F.crc32(F.encode(F.lower("name"), "UTF-8")).bitwiseAND(LEX_SLOTS - 1).alias("slot")).agg(F.bit_or(F.when(F.col("given"), 1).otherwise(2)).alias("code"))
+    for r in listed.toLocalIterator():  # at most LEX_SLOTS rows
+        lex[r.slot] |= r.code
+    given = [r.name for r in names.where("given").select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(training_names).collect()]
+    return bytes(lex), sorted(given)
 
 
 def find_personal_items(docs: DataFrame, known_names: DataFrame, ident: str = "doc_id", column: str = "text", training_texts: int = TRAINING_TEXTS, redact: bool = False) -> DataFrame:
