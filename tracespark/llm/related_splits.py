@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracespark.operators.deliveries import latest_deliveries
@@ -22,6 +22,7 @@ from tracespark.runtime import stored
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 LARGE_SHARE = 0.001
 BUCKET_GROUPS = 2000
+ID_BLOCK = 4096
 
 # Words that say what kind of name it is or where it lay, not which recording it names.
 _GENERIC = {"data", "raw", "shard", "episode", "ep", "part", "task", "clip"}
@@ -50,36 +51,38 @@ def recording_key(name: str, dataset: str | None) -> str:
 
 
 def recording_entities(chunks: DataFrame) -> DataFrame:
-    """Edges ``dataset, video_id, entity`` of recordings: the key of the spelling, and fingerprints of the content.
+    """Edges ``dataset, video_id, entity`` of recordings: the key of the spelling, and fingerprints of the content; 128 bits each.
 
     A re-export under another name shares content. One chunk may agree by chance, so an entity is two chunks
     at once: each (start_idx, end_idx, mean_acceleration) together with the one that follows, and with the one
-    after that, by chunk_id. A copy that lost some of its chunks still shares the pairs of those it kept. A
-    recording whose chunks form no pair is fingerprinted as a whole, with its peaks. Only chunks whose
-    start_idx, end_idx and mean_acceleration are all there count for content. A null video_id is no recording
-    and has no edges. An empty table gives no edges.
+    after that, by chunk_id. A copy that lost some of its chunks still shares the pairs of those it kept. The only
+    chunk of a recording is fingerprinted with its peak. Of each chunk_id the delivery that holds counts; null is a chunk_id that
+    comes first; a chunk without start_idx, end_idx or mean_acceleration does not count for content. A null video_id is no
+    recording and has no edges. An empty table gives no edges.
+
+    A long recording spreads over blocks of ``ID_BLOCK`` ids that overlap by two ids; chunks further apart than that over an edge are no pair.
     """
 
     @F.pandas_udf("string")
     def key(names: pd.Series, datasets: pd.Series) -> pd.Series:
         return pd.Series([recording_key(n, d) for n, d in zip(names, datasets)], dtype=object)
 
+    wide = lambda *parts: F.struct(F.xxhash64(F.lit(3), *parts).alias("a"), F.xxhash64(F.lit(5), *parts).alias("b"))
     rows = chunks.select("dataset", "video_id", "chunk_id", "start_idx", "end_idx", "mean_acceleration", "peak_acceleration", "ingested_at").where("video_id is not null")
-    named = rows.select("dataset", "video_id").distinct().select("dataset", "video_id", F.concat(F.lit("name/"), key("video_id", "dataset")).alias("entity"))
-    full = rows.where("start_idx is not null and end_idx is not null and mean_acceleration is not null")
-    held = latest_deliveries(full.where("chunk_id is not null"), ["dataset", "video_id", "chunk_id"], "ingested_at", ["start_idx", "end_idx", "mean_acceleration"])
-    print_ = lambda seed: F.xxhash64(F.lit(seed), "start_idx", "end_idx", "mean_acceleration")
-    # Each chunk meets its two successors in a group of at most three rows, spread by (video_id, chunk_id).
-    at = held.select("dataset", "video_id", print_(3).alias("a"), print_(5).alias("b"), F.col("chunk_id").cast("bigint").alias("c"), F.explode(F.array([F.lit(k) for k in range(3)])).alias("k"))
-    of = lambda k: F.max(F.when(F.col("k") == k, F.struct("a", "b")))
-    trio = at.groupBy("dataset", "video_id", (F.col("c") - F.col("k")).alias("c")).agg(of(0).alias("x"), of(1).alias("y"), of(2).alias("z"))
-    pair = lambda other: F.when(F.col("x").isNotNull() & F.col(other).isNotNull(), F.concat_ws("/", F.lit("pair"), "x.a", "x.b", f"{other}.a", f"{other}.b"))
-    pairs = trio.select("dataset", "video_id", F.explode(F.array_compact(F.array(pair("y"), pair("z")))).alias("entity"))
-    # The sums of all rows' hashes: exact repeats must not change them, so rows are made distinct first.
-    one = F.xxhash64(*[x for c in ("start_idx", "end_idx", "mean_acceleration", "peak_acceleration") for x in (F.col(c).isNull(), F.col(c))])
-    whole = full.select("dataset", "video_id", one.alias("h")).distinct().groupBy("dataset", "video_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
-    whole = whole.select("dataset", "video_id", F.concat_ws("/", F.lit("content"), "n", "x", "s").alias("entity"))
-    return named.unionByName(pairs.distinct()).unionByName(whole)
+    named = rows.groupBy("dataset", "video_id").agg(F.lit(1)).select("dataset", "video_id", wide(F.lit("name"), key("video_id", "dataset")).alias("entity"))
+    at = F.coalesce(F.col("chunk_id").cast("bigint"), F.lit(-1))
+    block = F.floor(at / ID_BLOCK)
+    both = F.when(F.pmod(at, F.lit(ID_BLOCK)) < 2, F.array(block, block - 1)).otherwise(F.array(block))
+    full = rows.where("start_idx is not null and end_idx is not null and mean_acceleration is not null").withColumn("block", F.explode(both))
+    # One shuffle for the deliveries and for the order within a block.
+    held = latest_deliveries(full.repartition("dataset", "video_id", "block"), ["dataset", "video_id", "block", "chunk_id"], "ingested_at", ["start_idx", "end_idx", "mean_acceleration", "peak_acceleration"])
+    w = Window.partitionBy("dataset", "video_id", "block").orderBy(at)
+    chunk, own = F.struct("start_idx", "end_idx", "mean_acceleration"), block == F.col("block")
+    seen = held.select("dataset", "video_id", own.alias("own"), chunk.alias("x"), "peak_acceleration", F.lead(chunk, 1).over(w).alias("y"), F.lead(chunk, 2).over(w).alias("z"))
+    pair = lambda other: F.when(F.col(other).isNotNull(), wide(F.lit("pair"), "x.start_idx", "x.end_idx", "x.mean_acceleration", f"{other}.start_idx", f"{other}.end_idx", f"{other}.mean_acceleration"))
+    seen = stored(seen.where("own").select("dataset", "video_id", F.array_compact(F.array(pair("y"), pair("z"))).alias("pairs"), wide(F.lit("only"), "x.start_idx", "x.end_idx", "x.mean_acceleration", F.col("peak_acceleration").isNull(), "peak_acceleration").alias("only")), "content")
+    single = seen.groupBy("dataset", "video_id").agg(F.count(F.lit(1)).alias("n"), F.first("only").alias("entity")).where("n = 1").drop("n")
+    return named.unionByName(seen.select("dataset", "video_id", F.explode("pairs").alias("entity"))).unionByName(single)
 
 
 def components(edges: DataFrame, scope: str, record: str, entity: str) -> DataFrame:
@@ -91,12 +94,12 @@ def components(edges: DataFrame, scope: str, record: str, entity: str) -> DataFr
     when no label changed. The aggregations combine map-side, so an entity with a third of all records costs
     one buffer per task. Repeated edges change nothing; edges with a null record or entity are left out.
     """
-    e = edges.select(F.col(scope).alias("s"), F.col(record).alias("r"), F.col(entity).alias("e")).where("r is not null and e is not null").distinct()
+    e = stored(edges.select(F.col(scope).alias("s"), F.col(record).alias("r"), F.col(entity).alias("e")).where("r is not null and e is not null"), "edges")
     # An entity of one record links nothing; the record itself stays.
     linking = e.groupBy("s", "e").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("s", "e")
     labels = stored(e.select("s", "r", F.col("r").alias("label")).distinct(), "labels")
     x, y = e.alias("x"), linking.alias("y")
-    e = stored(x.join(y, F.col("x.s").eqNullSafe(F.col("y.s")) & (F.col("x.e") == F.col("y.e")), "left_semi"), "edges")
+    e = stored(x.join(y, F.col("x.s").eqNullSafe(F.col("y.s")) & (F.col("x.e") == F.col("y.e")), "left_semi").distinct(), "edges")
     while True:
         x, y = e.alias("x"), labels.alias("y")
         known = x.join(y, F.col("x.s").eqNullSafe(F.col("y.s")) & (F.col("x.r") == F.col("y.r"))).select("x.s", "x.r", "x.e", "y.label")
