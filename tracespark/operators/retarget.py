@@ -32,10 +32,10 @@ def robust_step_length(tracks: DataFrame, width: float, height: float, share: fl
     return ranked.where("rank <= k").groupBy("episode", "t").agg(F.avg("len").alias("r"))
 
 
-def equal_arcs(points: np.ndarray, spacing: float, most: int, share: float = 0.02) -> np.ndarray:
+def equal_arcs(points: np.ndarray, spacing: float, most: int, share: float = 0.02, wanted: np.ndarray | None = None) -> np.ndarray:
     """(tracks, slots, 3): points (tracks, steps, 3), in units of the frame, read at every ``spacing`` of their common clock; slot 0 is the first point.
 
-    One step, or none that moves, leaves slot 0 only.
+    One step, or none that moves, leaves slot 0 only. wanted: the tracks to read; all of them set the clock.
     """
     steps = np.sqrt((np.diff(points, axis=1) ** 2).sum(2))
     longest = max(1, int(np.ceil(share * len(points))))
@@ -43,7 +43,7 @@ def equal_arcs(points: np.ndarray, spacing: float, most: int, share: float = 0.0
     clock = np.concatenate([[0.0], np.cumsum(pace)])
     at = spacing * np.arange(min(int(clock[-1] / spacing) + 1, most))
     # Between the readings of the clock, positions run on straight lines.
-    return np.stack([[np.interp(at, clock, track[:, d]) for d in range(3)] for track in points]).transpose(0, 2, 1)
+    return np.stack([[np.interp(at, clock, track[:, d]) for d in range(3)] for track in (points if wanted is None else points[wanted])]).transpose(0, 2, 1)
 
 
 def lifespans(tracks: DataFrame) -> DataFrame:
@@ -82,16 +82,21 @@ def assembled_samples(
     keys = ["episode", "born", "died", "block"]
     cam = blocks.select(keys).distinct().join(cam, ["episode", "block"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "cams")
 
+    arrays = ["traj", "traj_history", "raw_traj", "raw_traj_history"]
+    flat = [f"{a}_{c}" for a in arrays for c in "xyz"]  # plain arrays leave Python far faster than arrays of structs
+
     def run(key: tuple, tracks_: pd.DataFrame, cams_: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(tracks_) and len(cams_):
             by_frame = {c["t"]: c for cs in cams_["cams"] for c in cs}
             out += _group_samples(tracks_.sort_values("kp"), by_frame, width, height, future, history, spacing, at_least)
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["episode", "t", "kp", "x", "y", "traj", "traj_history", "raw_traj", "raw_traj_history"])
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["episode", "t", "kp", "x", "y", *flat])
 
     e, k = (tracks.schema[c].dataType.simpleString() for c in ("episode", "kp"))
-    schema = f"episode {e}, t bigint, kp {k}, x double, y double, traj {POINTS}, traj_history {POINTS}, raw_traj {POINTS}, raw_traj_history {POINTS}"
-    return blocks.groupBy(keys).cogroup(cam.groupBy([f"_{k}" for k in keys])).applyInPandas(run, schema)
+    schema = f"episode {e}, t bigint, kp {k}, x double, y double, " + ", ".join(f"{c} array<double>" for c in flat)
+    points = [F.arrays_zip(*[F.col(f"{a}_{c}").alias(c) for c in "xyz"]).cast(POINTS).alias(a) for a in arrays]
+    found = blocks.groupBy(keys).cogroup(cam.groupBy([f"_{k}" for k in keys])).applyInPandas(run, schema)
+    return found.select("episode", "t", "kp", "x", "y", *points)
 
 
 def _group_samples(g: pd.DataFrame, cams: dict, width: float, height: float, future: int, history: int, spacing: float, at_least: int) -> list[tuple]:
@@ -114,10 +119,10 @@ def _group_samples(g: pd.DataFrame, cams: dict, width: float, height: float, fut
         ahead, back = image[:, i:], image[:, i::-1]
         if not len(wanted) or min(ahead.shape[1], future) < at_least:
             continue
-        traj = equal_arcs(ahead / scale, spacing, future)[wanted] * scale
-        past = equal_arcs(back / scale, spacing, history)[wanted] * scale
+        traj = equal_arcs(ahead / scale, spacing, future, wanted=wanted) * scale
+        past = equal_arcs(back / scale, spacing, history, wanted=wanted) * scale
         rows = zip(wanted, traj, past, ahead[wanted, :future], back[wanted, :history])
-        out += [(int(frames[i]), names[n], float(u[n]), float(v[n]), *([dict(zip("xyz", p)) for p in a.tolist()] for a in arrays)) for n, *arrays in rows]
+        out += [(int(frames[i]), names[n], float(u[n]), float(v[n]), *(np.ascontiguousarray(a[:, d]) for a in arrays for d in range(3))) for n, *arrays in rows]
     return out
 
 
