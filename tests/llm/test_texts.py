@@ -1,8 +1,10 @@
 """Cut texts, encoding and packing."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,46 @@ def test_every_bucket_mate_is_a_copy(spark, monkeypatch, hot):
     assert [(r.text, r.told) for r in tr.near_copy_verdicts(spark.createDataFrame(rows, "text string")).collect()] == [(cut, tr.GOES_ON)]
 
 
+def test_similar_sets_share_a_key():
+    r = random.Random(5)
+    codes = []
+    for n in [*range(5, 44)] * 12 + [80, 150, 400]:
+        words = [r.getrandbits(62) for _ in range(n)]
+        codes += [words, words[r.randint(0, n // 9) : n - r.randint(0, n // 9)], [1, *words[1:]], [*words, *words[:6]]]
+    shapes = tr.set_shapes(codes)
+    sets = [set(tr._shingled(np.array(c, np.uint64)).tolist()) for c in codes]
+    assert shapes["size"].tolist() == [len(s) for s in sets]
+    near, far, bands = shapes["near"].to_pylist(), shapes["far"].to_pylist(), tr.band_keys(codes)
+    similar = 0
+    for i in range(0, len(codes), 4):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2), (i, i + 3)):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= tr.SIMILAR * len(sets[a] | sets[b]):
+                similar += 1
+                assert set(near[a]) & set(near[b]) or shapes["wide"][a] and shapes["wide"][b] and any(x == y for x, y in zip(bands[a], bands[b]))
+                assert set(near[a] + far[a]) & set(near[b] + far[b])
+                differ = sum(((int(shapes[x][a]) ^ int(shapes[x][b])) & (1 << 64) - 1).bit_count() for x in ("bits", "bits2"))
+                assert differ * tr.APART <= len(sets[a]) + len(sets[b])
+    assert similar > 600
+
+
+def test_pairs_follow_the_similar_texts_and_not_the_buckets(spark):
+    shared = " ".join(f"w{i}" for i in range(24))
+    rows = [(f"a{i} b{i} c{i} d{i} e{i} f{i} {shared}",) for i in range(400)]  # alike by 0.63, with the same closing words: they fill the same buckets
+    rows += [(f"{rows[0][0]} z",), (f"z {rows[1][0]}",)]
+    buckets = Counter(k for x in bands(*[r[0] for r in rows]) for k in enumerate(x))
+    assert sum(k * k for k in buckets.values() if k > 100) > 100_000  # pairs, were they made by the bucket
+    shaped = spark.createDataFrame(tr.shape_rows(pa.array(range(402)), [r[0] for r in rows]).to_pylist(), tr.SHAPE)
+    pairs = {tuple(p) for p in tr.near_copy_pairs(shaped).collect()}
+    assert {(0, 400), (400, 0), (1, 401), (401, 1)} <= pairs and len(pairs) <= 4 * len(rows)
+
+
+def test_most_finished_texts_are_told_in_the_jvm(spark):
+    texts = ["It lifts.", "It lifts", "It lifts..", "It lifts…", "It lifts.…", "It lifts!", "(It lifts.", "“It lifts.”", '"It lifts.', "It. ", ".", "It lifts.\n", "a\nb.", "«a.", "a [b].", "x…."]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    sure = {r.text for r in df.where(tr.SURELY_FINISHED).collect()}
+    assert {"It lifts.", "It lifts!", "a\nb."} <= sure and all(tr.finished(x) for x in sure)
+
+
 def test_closing_phrases_that_occur_twice_are_aligned():
     phrase, words = "and sets it on", [f"w{i}" for i in range(40)]
     whole = " ".join([*words[:20], phrase, *words[20:], phrase, "the tray"]) + "."
@@ -121,6 +163,12 @@ def test_limits_need_a_pile(spark):
     assert find(rows + [("s", "f", "1", "x" * 60)] * 40 + far) == {("s", "f", "1", "chars", 60), ("s", "f", "1", "bytes", 60), ("s", "f", "2", "chars", 70_000), ("s", "f", "2", "bytes", 70_000), ("s", "f", None, "chars", 40), ("s", "f", None, "bytes", 80)}
 
 
+def test_a_cut_text_without_an_ident_is_cut(spark):
+    rows = [(None, "a", "1", "The left arm lifts the...", None), (1, "a", "1", "The left arm lifts the bowl.", None)]
+    out = tr.find_cut_texts(spark.createDataFrame(rows, T), ["short_description"]).collect()
+    assert {(x.text_id, x.cut, x.reason) for x in out} == {(None, True, "broken"), (1, False, None)}
+
+
 def test_empty_captions(spark):
     assert tr.find_cut_texts(spark.createDataFrame([], T), ["short_description"]).count() == 0
 
