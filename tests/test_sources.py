@@ -2,12 +2,15 @@
 
 import json
 import struct
+import threading
+import time
 
 import numpy as np
+import psutil
 from pyspark.sql import functions as F
 
 from tracespark.sources import registry as rg
-from tracespark.sources.trace_episodes import write_trace_episodes
+from tracespark.sources.trace_episodes import through_trace_episodes, write_trace_episodes
 
 
 def vint(n):
@@ -71,6 +74,61 @@ def test_episode_round_trip(spark, tmp_path):
     assert np.load(tmp_path / "e1" / "samples" / "offsets.npy").tolist() == [0, 1, 2]
 
 
+def largest_worker(run) -> tuple:
+    """What a call returns, and the MB of the largest Python worker meanwhile."""
+    most, over = 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.is_set():
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        most = max(most, p.memory_info().rss - p.memory_info().shared)
+                except psutil.Error:
+                    pass
+            time.sleep(0.1)
+
+    t = threading.Thread(target=watch)
+    t.start()
+    try:
+        return run(), most / 1e6
+    finally:
+        over.set()
+        t.join()
+
+
+def long_episode(spark, n):
+    """Row i: frame i // 7, x = i % 1000; the first i % 129 steps are there, of which every other counts."""
+    return spark.range(n).selectExpr(
+        "'long' as episode", "cast(id div 7 as int) as t", "id as kp_row", "struct(cast(id % 1000 as float) as x, cast(1 as float) as y) as keypoint", "cast(id % 5 as int) as cluster_id", "id % 3 = 0 as is_moving", "cast(0.5 as float) as visib",
+        "transform(slice(sequence(0, 127), 1, cast(id % 129 as int)), k -> struct(cast(k as float) as x, cast(id % 1000 as float) as y, cast(0.5 as float) as z)) as raw_traj", "transform(sequence(0, 127), k -> k % 2 = 0) as raw_valid_steps",
+    )
+
+
+def test_long_episode_is_never_held(spark, tmp_path):
+    rg.register_sources(spark)
+    n = 20_000
+    done, mb = largest_worker(lambda: write_trace_episodes(long_episode(spark, n), str(tmp_path)).collect())
+    assert [tuple(r) for r in done] == [("long", (n + 6) // 7, n)] and mb < 400
+    a = {c: np.load(tmp_path / "long" / "samples" / f"{c}.npy") for c in ("frame_indices", "offsets", "keypoints", "raw_traj", "raw_valid_steps")}
+    assert a["frame_indices"].tolist() == list(range((n + 6) // 7)) and a["offsets"].tolist() == [*range(0, n, 7), n]
+    i = np.arange(n)
+    assert (a["keypoints"][:, 0] == i % 1000).all() and ((a["raw_traj"][:, :, 0] != -np.inf).sum(1) == i % 129).all() and (a["raw_valid_steps"].sum(1) == (i % 129 + 1) // 2).all()
+    back = spark.read.format("trace_episodes").option("path", str(tmp_path)).load()
+    (r,), mb = largest_worker(lambda: back.selectExpr("count(*)", "sum(kp_row)", "sum(t)", "count_if(is_moving)", "sum(size(filter(raw_traj, s -> s.x >= 0)))", "sum(size(filter(raw_valid_steps, b -> b)))").collect())
+    assert tuple(r) == (n, sum(range(n)), int((i // 7).sum()), int((i % 3 == 0).sum()), int((i % 129).sum()), int(((i % 129 + 1) // 2).sum())) and mb < 400
+
+
+def test_through_the_layout_equals_write_and_read(spark, tmp_path):
+    rg.register_sources(spark)
+    df = long_episode(spark, 9_000).withColumn("episode", F.expr("if(kp_row < 5000, 'long', concat('e', kp_row % 700))"))
+    write_trace_episodes(df, str(tmp_path)).collect()
+    back, through = spark.read.format("trace_episodes").option("path", str(tmp_path)).load(), through_trace_episodes(df, *df.columns)
+    assert through.schema.simpleString() == back.schema.simpleString() and back.count() == 9_000
+    assert through.exceptAll(back).count() == 0 and back.exceptAll(through).count() == 0
+
+
 def test_layouts_and_lists(spark, tmp_path):
     for p in ("17/3/obs.mp4", "17/3/task.txt", "part1/cut/5.mp4", "part1/cut/5.hdf5", "part1/cut/6.mp4", "v/a/img10.jpg", "v/a/img9.jpg", "v/b.png"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)

@@ -9,9 +9,8 @@ from tracespark.functions import geometry as g
 from tracespark.operators import tracks as op
 from tracespark.operators import retarget as rt
 from tracespark.plans.standins import CAM, CAMT, FRM, HEIGHT, ONE, OWN, SEEN, TRK, WIDTH, cameras, frames, pose, tracks, with_camera
-from tracespark.runtime import table, work_dir
-from tracespark.sources.registry import register_sources
-from tracespark.sources.trace_episodes import write_trace_episodes
+from tracespark.runtime import table
+from tracespark.sources.trace_episodes import through_trace_episodes
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -306,11 +305,8 @@ def cluster_hues(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("select md5(video_id) as episode, frame_index as t, count(*) as n_rows, count(*) filter (is_moving) as n_moving from samples where is_moving is not null group by 1, 2")
 def episode_layout_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Writes the samples in the array layout, one folder per recording, and reads them back."""
+    """Writes the samples in the array layout, one folder per recording, and reads them back; a task drops folders it has read."""
     s = table(spark, d, "samples").where("is_moving is not null")
     rows = s.select(F.md5("video_id").alias("episode"), F.col("frame_index").alias("t"), F.col("sample_id").alias("kp_row"), F.struct(F.col("keypoint_x").alias("x"), F.col("keypoint_y").alias("y")).alias("keypoint"), "cluster_id", "is_moving", "visib", "raw_traj", "raw_valid_steps")
-    at = work_dir(spark, "episodes").removeprefix("file://")
-    write_trace_episodes(rows, at).write.format("noop").mode("overwrite").save()
-    register_sources(spark)
-    back = spark.read.format("trace_episodes").option("path", at).load()
+    back = through_trace_episodes(rows, "episode", "t", "is_moving")
     return back.groupBy("episode", "t").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_moving").alias("n_moving"))
